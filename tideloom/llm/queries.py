@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import chat_format, line_dedup, source_mix, url_filter, warc_archive
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+_TEMPLATE_CASE = "\\### Assistant: </turn> ok"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,18 +29,37 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
-
-SQL = {
-    "op1_line_dedup": r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
-             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
-m AS (SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id > o.owner, false) AS gone FROM k LEFT JOIN o ON k.key = o.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
-""",
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = source_mix.mix_report(_read(spark, sf_dir, "documents"))
+    return report.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    case = spark.createDataFrame(
+        [(-7, 0, "user", _TEMPLATE_CASE), (-7, 1, "assistant", _TEMPLATE_CASE)], "conv_id long, turn long, role string, text string"
+    )
+    return chat_format.digest(chat_format.format_examples(turns.unionByName(case)))
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histories = warc_archive.archive_and_read(_read(spark, sf_dir, "pages"))
+    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_source_mix,
+        op3_chat_format,
+        op5_warc_archive,
+        op7_url_filter,
+    )
 }
