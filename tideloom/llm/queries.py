@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, source_mix, url_filter, warc_archive
+from . import ann_ivfpq, chat_format, exact_topk, line_dedup, source_mix, url_filter, warc_archive
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -44,11 +44,21 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_examples(turns.unionByName(case)))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.exact_top_k(vectors, F.expr("pmod(vec_id, 100) = 0"), k=10, scale=1024.0)
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     histories = warc_archive.archive_and_read(_read(spark, sf_dir, "pages"))
     return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_ivfpq.ann_search(vectors, F.expr("pmod(vec_id, 20) = 0"), k=20)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -59,7 +69,9 @@ QUERIES = {
         op1_line_dedup,
         op2_source_mix,
         op3_chat_format,
+        op4_exact_topk,
         op5_warc_archive,
+        op6_ann_ivfpq,
         op7_url_filter,
     )
 }
