@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_ivfpq, chat_format, exact_topk, line_dedup, source_mix, url_filter, warc_archive
+from . import ann_ivfpq, chat_format, exact_topk, line_dedup, packing, quality, source_mix, url_filter, warc_archive
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -63,6 +63,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    rated = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade"))
+    return quality.train(docs.select("doc_id", "text"), rated)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, _read(spark, sf_dir, "labels")))
+    kept = F.col("tail_probability") >= quality.LEAST
+    return scored.select("doc_id", "expected_grade", "tail_probability", kept.alias("kept"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,5 +89,7 @@ QUERIES = {
         op5_warc_archive,
         op6_ann_ivfpq,
         op7_url_filter,
+        op9_quality,
+        op10_packing,
     )
 }
