@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_ivfpq, chat_format, exact_topk, line_dedup, packing, quality, source_mix, url_filter, warc_archive
+from . import ann_ivfpq, chat_format, exact_topk, line_dedup, near_dedup, packing, quality, source_mix, url_filter, warc_archive
 from .sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -63,6 +63,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     rated = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade"))
     return quality.train(docs.select("doc_id", "text"), rated)
@@ -89,6 +93,7 @@ QUERIES = {
         op5_warc_archive,
         op6_ann_ivfpq,
         op7_url_filter,
+        op8_minhash_dedup,
         op9_quality,
         op10_packing,
     )
