@@ -4,7 +4,8 @@ Every document's set of word shingles gives 128 minima, read as 32 hashes of fou
 hashes t, t+1, t+2: documents next to each other share the longest prefix, and sharing the first hash (four minima)
 makes them candidates.  Where a region is crowded, its members are ordered by eight and twelve minima, so the depth at
 which neighbours meet adapts to the region.  Each document meets the next ``reach`` documents of its region in each
-tree.  Candidates are confirmed on the full shingle sets, links become components.
+tree; members of regions with more documents than that meet again in further orders, across components only, until
+an order joins nothing.  Candidates are confirmed on the full shingle sets, links become components.
 
 Work that grows with a group of copies is avoided in two ways.  Documents with equal sets fall together first (a
 partial aggregate) and stand behind the one with the smallest doc_id.  And links are found in two rounds: adjacent
@@ -90,63 +91,75 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return rows.mapInPandas(_signer(width), "doc_id long, n_shingles long, s1 long, s2 long, regions array<long>")
 
 
+_MET = "kind int, a long, b long, early boolean, range int, region long, tree long, place int, component long"
+PAIR, TAIL, HEAD, CROWDED = range(4)
+
+
 def _neighbours(reach: int):
-    columns = ["a", "b", "early", "range", "tail", "region", "tree", "place"]
+    """Pairs within ``reach`` of each other in a region; rows at a range's borders; members of crowded regions."""
 
-    def border(region, tree, rep, number: int, tail: bool) -> pd.DataFrame:
-        out = pd.DataFrame({"a": rep, "b": rep, "early": False, "range": number, "tail": tail, "region": region, "tree": tree})
-        out["place"] = np.arange(len(rep))[::-1] if tail else np.arange(len(rep))
-        return out
+    def rows(kind, rep, other, early, number, region, tree, place, component) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"kind": kind, "a": rep, "b": other, "early": early, "range": number, "region": region, "tree": tree, "place": place, "component": component}
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, head, sent = TaskContext.get().partitionId(), 0, False
-        region, tree, rep = (np.empty(0, dtype=np.int64) for _ in range(3))
-        for batch in batches:
-            kept = len(rep)
-            region, tree, rep = (np.concatenate((x, batch[c].to_numpy(np.int64))) for x, c in ((region, "r0"), (tree, "tree"), (rep, "rep")))
-            if head < reach:  # batches may be shorter than the reach
-                more = slice(kept, min(len(rep), kept + reach - head))
-                if more.stop > more.start:
-                    first = border(region[more], tree[more], rep[more], number, False)
-                    first["place"] += head
-                    head += more.stop - more.start
-                    yield first[columns]
-            found = []
-            for d in range(1, reach + 1):
-                i = np.flatnonzero(region[d:] == region[:-d]) if len(region) > d else np.empty(0, dtype=np.int64)
-                i = i[i + d >= kept]
-                found.append((np.minimum(rep[i], rep[i + d]), np.maximum(rep[i], rep[i + d]), (tree[i] < EARLY) & (d == 1)))
-            a, b, early = (np.concatenate(x) for x in zip(*found))
-            pairs = pd.DataFrame({"a": a, "b": b, "early": early}).groupby(["a", "b"], as_index=False)["early"].max() if len(a) else None
-            if pairs is not None:
-                yield pairs.assign(range=-1, tail=False, region=0, tree=0, place=0)[columns]
-            region, tree, rep, sent = region[-reach:], tree[-reach:], rep[-reach:], True
-        if sent:
-            yield border(region, tree, rep, number, True)[columns]
+        held = [b[["region", "tree", "rep", "component"]].to_numpy(np.int64) for b in batches]
+        if not held or not sum(map(len, held)):
+            return
+        region, tree, rep, component = np.concatenate(held).T.copy()  # a range: a few hundred thousand rows
+        number, n = TaskContext.get().partitionId(), len(rep)
+        a, b, early = [], [], []
+        for d in range(1, min(reach, n - 1) + 1):
+            i = np.flatnonzero((region[d:] == region[:-d]) & (component[d:] != component[:-d]))
+            a.append(np.minimum(rep[i], rep[i + d]))
+            b.append(np.maximum(rep[i], rep[i + d]))
+            early.append((tree[i] < EARLY) & (d == 1))
+        if a and sum(map(len, a)):
+            pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "early": np.concatenate(early)})
+            pairs = pairs.groupby(["a", "b"], as_index=False)["early"].max()
+            yield rows(PAIR, pairs["a"], pairs["b"], pairs["early"], 0, 0, 0, 0, 0)
+        for kind, part in ((HEAD, slice(0, reach)), (TAIL, slice(max(0, n - reach), n))):
+            place = np.arange(n)[part] if kind == HEAD else n - 1 - np.arange(n)[part]
+            yield rows(kind, rep[part], rep[part], False, number, region[part], tree[part], place, component[part])
+        start = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+        length = np.diff(np.append(start, n))
+        large = length > reach + 1
+        large[[0, -1]] |= length[[0, -1]] > 1  # they may go on beyond the border
+        m = np.flatnonzero(np.repeat(large, length))
+        for at in range(0, len(m), 10_000):
+            k = m[at : at + 10_000]
+            yield rows(CROWDED, rep[k], rep[k], False, number, region[k], tree[k], 0, component[k])
 
     return run
 
 
-def candidates(reps: DataFrame, reach: int) -> DataFrame:
-    """(a, b, early) with a < b from ``reps`` (rep, regions); early: adjacent in one of the first trees."""
-    spark, n = reps.sparkSession, reps.count()
-    at = lambda t: f"get(regions, (t + {t}) % {TREES})"
-    trees = reps.select(
-        "rep",
-        F.expr(f"explode(transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, {at(0)} AS r0, {at(1)} AS r1, {at(2)} AS r2)))").alias("_t"),
-    ).select("rep", "_t.*")
-    ranges = max(1, min(partitions_for(spark, n * TREES, 400_000), n * TREES // 10_000))
-    ordered = trees.repartitionByRange(ranges, "r0", "r1", "r2", "rep").sortWithinPartitions("r0", "r1", "r2", "rep")
-    schema = "a long, b long, early boolean, range int, tail boolean, region long, tree long, place int"
-    met = durable(ordered.mapInPandas(_neighbours(reach), schema), "forest-neighbours")
-    tails = met.where("range >= 0 AND tail").select(F.col("a").alias("x"), "region", "tree", (F.col("range") + 1).alias("range"), F.col("place").alias("back"))
-    heads = met.where("range >= 0 AND NOT tail").select(F.col("a").alias("y"), "region", "range", "place")
-    across = tails.join(heads, ["region", "range"]).where(F.col("back") + F.col("place") < reach)
-    across = across.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), ((F.col("tree") < EARLY) & (F.col("back") + F.col("place") == 0)).alias("early")
+def _meet(ordered: DataFrame, rows: int, reach: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, early) with a < b, and the members (region, tree, rep) of crowded regions.
+
+    ``ordered``: region, k1, k2, tree, rep, component; rows of one component don't pair.
+    """
+    ranges = max(1, min(partitions_for(ordered.sparkSession, rows, 400_000), rows // 10_000))
+    key = ["region", "k1", "k2", "rep"]
+    met = durable(ordered.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach), _MET), name)
+    tails = met.where(F.col("kind") == TAIL).select(
+        F.col("a").alias("x"), "region", "tree", (F.col("range") + 1).alias("range"), F.col("place").alias("back"), F.col("component").alias("cx")
     )
-    pairs = met.where("range < 0").select("a", "b", "early").unionByName(across).where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.max("early").alias("early"))
+    heads = met.where(F.col("kind") == HEAD).select(F.col("a").alias("y"), "region", "range", "place", F.col("component").alias("cy"))
+    across = tails.join(heads, ["region", "range"]).where((F.col("back") + F.col("place") < reach) & (F.col("cx") != F.col("cy")))
+    early = (F.col("tree") < EARLY) & (F.col("back") + F.col("place") == 0)
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), early.alias("early"))
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", "early").unionByName(across).where("a <> b")
+    crowded = met.where(F.col("kind") == CROWDED).select("region", "tree", F.col("a").alias("rep"))
+    return pairs.groupBy("a", "b").agg(F.max("early").alias("early")), crowded
+
+
+def forest(reps: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """All trees over ``reps`` (rep, regions)."""
+    at = lambda k: f"get(regions, (t + {k}) % {TREES})"
+    each = f"explode(transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, {at(0)} AS region, {at(1)} AS k1, {at(2)} AS k2)))"
+    trees = reps.select("rep", F.expr(each).alias("_t")).select("rep", "_t.*", F.col("rep").alias("component"))
+    return _meet(trees, reps.count() * TREES, reach, "forest-neighbours")
 
 
 def _sets(width: int):
@@ -188,27 +201,49 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where("(shiftright(_bits, cast(_bit % 64 as int)) & 1) = 1").select("doc_id", "text")
 
 
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component."""
+    side = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
 def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reach: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = durable(signatures(docs, width), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     groups = named.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "regions")).alias("_g"))
     groups = durable(groups.select("s1", "s2", "n_shingles", F.col("_g.doc_id").alias("rep"), F.col("_g.regions").alias("regions")), "equal-sets")
-    pairs = durable(candidates(groups.select("rep", "regions"), reach), "candidates")
+    pairs, crowded = forest(groups.select("rep", "regions"), reach)
+    pairs = durable(pairs, "candidates")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = durable(_texts_of(docs, ends).mapInPandas(_sets(width), "doc_id long, set binary"), "candidate-sets")
-    first = durable(confirmed(pairs.where("early"), sets, part, whole), "links")
-    grown = durable(connected_components(first), "early-components")
-    side = lambda c: grown.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    apart = (
-        pairs.where("NOT early")
-        .join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
-        .where(~F.coalesce("a_component", "a").eqNullSafe(F.coalesce("b_component", "b")))
-    )
-    second = confirmed(apart, sets, part, whole)
-    found = durable(connected_components(first.unionByName(second)), "components")
+    links = durable(confirmed(pairs.where("early"), sets, part, whole), "links")
+    found = durable(connected_components(links), "components")
+    more = durable(confirmed(_apart(pairs.where("NOT early"), found), sets, part, whole), "links")
+    links = links.unionByName(more)
+    found = durable(connected_components(links), "components")
+
+    # members of crowded regions meet others in further orders, until an order joins nothing
+    members = durable(crowded.join(groups.select("rep", "regions"), "rep"), "crowded")
+    n, tried = members.count(), pairs.select("a", "b")
+    for turn in range(3, TREES - 1, 2) if n else ():
+        own = found.select(F.col("node").alias("rep"), "component")
+        at = lambda k: F.expr(f"get(regions, cast((tree + {k}) % {TREES} as int))")  # noqa: B023, E731
+        rows = members.join(own, "rep", "left").select(
+            "region", at(turn).alias("k1"), at(turn + 1).alias("k2"), "tree", "rep", F.coalesce("component", "rep").alias("component")
+        )
+        met, _ = _meet(rows, n, reach, "further-neighbours")
+        fresh = durable(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
+        new = durable(confirmed(fresh, sets, part, whole), "links")
+        tried = tried.unionByName(fresh)
+        if new.isEmpty():
+            if turn > 3:
+                break
+            continue
+        links = links.unionByName(new)
+        found = durable(connected_components(links), "components")
 
     placed = groups.drop("regions").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.select("s1", "s2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component"))
