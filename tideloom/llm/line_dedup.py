@@ -9,7 +9,8 @@ partial aggregate) name the slices that can hold one, and only these slices are
 
 Defined cases: a null text is one empty line; a null ``doc_id`` orders after all others and all null ids are one
 document; rows that repeat a doc_id are one document, each row keeps its own output row; a key found only within one
-document loses nothing; columns besides ``doc_id`` and ``text`` are carried through ``apply_bitmaps`` and never read.
+document loses nothing; columns besides ``doc_id`` and ``text`` are carried through ``apply_bitmaps`` whatever their
+names, and never read.
 """
 
 from __future__ import annotations
@@ -97,24 +98,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the text that remains)."""
-    own = docs.withColumn("_text_key", text_key(F.col("text")))
-    joined = own.join(
-        bitmaps.withColumnRenamed("n_dropped", "_lost"),
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_text")),
-        "left",
-    )
-    lines = split_lines(F.col("text"))
+    """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the text that remains), which replace columns so named."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), text_key(F.col("text")).alias("_own_key"))
+    joined = own.join(bitmaps, F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_own_key") == F.col("_text")), "left")
     kept = F.expr(
-        "array_join(filter(split(coalesce(text, ''), '\\n', -1), "
+        "array_join(filter(split(coalesce(_row.text, ''), '\\n', -1), "
         "(x, i) -> (shiftright(coalesce(get(_keep, i div 64), -1L), i % 64) & 1) = 1), '\\n')"
     )
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.col("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_keep").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(kept).alias("kept"),
-    )
+    made = {
+        "n_lines": F.size(split_lines(F.col("_row.text"))).cast("long"),
+        "n_dropped": F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long"),
+        "kept": F.when(F.col("_keep").isNull(), F.coalesce(F.col("_row.text"), F.lit(""))).otherwise(kept),
+    }
+    carried = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in made]
+    return joined.select(*carried, *[c.alias(n) for n, c in made.items()])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:

@@ -136,5 +136,7 @@ def mix_report(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed="mi
 def mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed="mix-1:") -> DataFrame:
     """The mixed documents themselves: each row as often as it is drawn, with the columns of ``docs``."""
     blocks, _, subs = plan(docs, weights, share, most, seed)
-    out = _copies(_in_block(_with_keys(docs), subs), blocks, most).where(F.col("copies") > 0)
-    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    own = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    out = _copies(_in_block(_with_keys(own).drop("text", "source"), subs), blocks, most).where(F.col("copies") > 0)
+    each = out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
+    return each.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -55,10 +55,13 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def records(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """One WARC record per row of ``pages`` (page_id, url, html, and captured, a timestamp, if there)."""
+def records(pages: DataFrame, min_revisit: int = 0, captured: str | None = None) -> DataFrame:
+    """One WARC record per row of ``pages`` (page_id, url, html).
+
+    ``captured`` names a timestamp column; without one, a page's time is EPOCH plus page_id seconds.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    when = F.col("captured") if "captured" in pages.columns else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)))
+    when = F.col(captured) if captured else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)))
     rows = pages.select(
         "page_id",
         F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "%20").alias("_url"),
@@ -97,8 +100,8 @@ def records(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     return joined.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, records_each: int = 2000) -> None:
-    records(pages, min_revisit).write.option("compression", "gzip").option("maxRecordsPerFile", records_each).text(path)
+def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, captured: str | None = None, records_each: int = 2000) -> None:
+    records(pages, min_revisit, captured).write.option("compression", "gzip").option("maxRecordsPerFile", records_each).text(path)
 
 
 def _page(value: str | None) -> int | None:
@@ -207,7 +210,7 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     return ranged.mapInPandas(_merge, INDEX)
 
 
-def archive_and_read(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
+def archive_and_read(pages: DataFrame, min_revisit: int = 0, captured: str | None = None) -> DataFrame:
     path = scratch_path(pages.sparkSession, "warc")
-    write_archives(pages, path, min_revisit)
+    write_archives(pages, path, min_revisit, captured)
     return read_histories(pages.sparkSession, path)
