@@ -63,3 +63,27 @@ def test_components_of_chains_stars_and_random_links(spark):
     found = components.connected_components(df(links[:half]))
     again = components.merged_components(found, df([x for x in links[half:] if x[0] is not None and x[0] != x[1]]), found.count())
     assert sorted(map(tuple, again.collect())) == want
+
+
+def test_sql_twin_on_planted_links(spark):
+    import duckdb
+
+    from tideloom.llm.queries import SQL
+
+    rows = [
+        (1, "http://a.net/1#top", '<LINK href="http://b.net/x?a=1" REL=canonical>'),
+        (2, "http://b.net/x?a=1", "<meta http-equiv='Refresh' content='0; URL=http://c.com/de/9'>"),
+        (3, "http://d.net/", "<!-- <link rel=canonical href='http://c.com/de/9'> -->"),
+        (4, "http://e.net/a/b", '<link rel="canonical" href="/z">'),
+        (5, "http://e.net/z", '<meta content="5;url=//c.com/de/7" http-equiv="refresh">'),
+        (6, "http://f.net/", '<link rel="canonical" href="http://c.com/de/5"><link rel="canonical" href="http://g.org/">'),
+        (7, "http://g.org/", '<link rel="canonical" href="http://c.com/de/5">'),
+        (8, None, '<link rel="canonical" href="http://c.com/de/9">'),
+        (9, "http://A.net/1", None),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.sql("SELECT page_id, host, path, rule, verdict FROM (" + SQL["op7_url_filter"] + ")").fetchall())
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES)
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == want

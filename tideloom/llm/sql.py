@@ -71,4 +71,29 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM e
 """,
+    "op7_url_filter": r"""
+WITH RECURSIVE n AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {LOWER}), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM n),
+rules(h, t, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+tag AS (SELECT url, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'gsi'),
+        '<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>', 0, 'i')) AS tag FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+link AS (SELECT url, CASE
+    WHEN regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta\b.*http-equiv\s*=\s*["'']?\s*refresh') THEN regexp_extract(tag, '(?i)content\s*=\s*["'']?[\s\d.;,]*url\s*=\s*([^"''>]*)', 1) END AS t FROM tag),
+target AS (SELECT url, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '^[^:/?#]*:') || t
+    WHEN t LIKE '/%' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t ELSE regexp_extract(url, '^[^:/?#]*://[^/?#]*[^?#]*/') || t END AS t FROM link WHERE trim(coalesce(t, '')) <> ''),
+node AS (SELECT DISTINCT u, translate(regexp_extract(u, '^([^:/?#]*://[^/?#]*)([^#]*)', 1), {LOWER}) || regexp_extract(u, '^([^:/?#]*://[^/?#]*)([^#]*)', 2) AS n
+    FROM (SELECT url AS u FROM pages UNION SELECT t FROM target)),
+edge AS (SELECT a.n AS a, b.n AS b FROM target JOIN node a ON a.u = url JOIN node b ON b.u = t WHERE a.n <> b.n AND a.n <> '' AND b.n <> ''),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+member AS (SELECT DISTINCT b AS n, translate(regexp_extract(b, '://([^/?#]*)', 1), {LOWER}) AS host, regexp_extract(b, '://[^/?#]*([^?#]*)', 1) AS path FROM reach),
+ruled AS (SELECT n, arg_max(action, length(h || t)) AS action FROM member JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY n),
+standing AS (SELECT a AS n FROM reach LEFT JOIN ruled ON ruled.n = b GROUP BY a HAVING bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false)),
+own AS (SELECT DISTINCT url, arg_max(h || t, length(h || t)) AS rule, arg_max(action, length(h || t)) AS action
+    FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY url)
+SELECT page_id, host, path, own.rule, coalesce(own.action, CASE WHEN standing.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN own ON own.url = p.url LEFT JOIN node ON node.u = p.url LEFT JOIN standing ON standing.n = node.n
+""".replace("{LOWER}", _LOWER),
 }
