@@ -21,8 +21,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that an earlier one holds; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")})
-    return out.select(*docs.columns)
+    others = F.struct(*[docs[c] for c in docs.columns if c != "text"])  # whatever their names
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", others.alias("others")))
+    made = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return out.select(*[(made.get(c) if c in made else F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
