@@ -14,3 +14,14 @@ def test_stages_in_order(spark, sf_dir):
     assert 0 < seen["quality_classifier"] <= n and seen["line_dedup"] == seen["quality_classifier"] >= seen["minhash_near_dedup"]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert pieces.where("piece = 0").count() == docs.count()
+
+
+def test_stages_on_hard_and_empty_documents(spark, sf_dir, documents):
+    for docs in (documents, documents.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.durable(stage(spark, docs, sf_dir), "test-stage")
+            assert out.columns == columns, name
+        corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count()
+    kept = corpus_pipeline.drop_repeated_lines(spark, documents, sf_dir)
+    assert kept.select("kept", "size", "_keep").distinct().collect() == [(6, 4, 3)]
