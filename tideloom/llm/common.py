@@ -1,4 +1,4 @@
-"""Shared parts of the training-data operators: durable scratch tables, ranks, text expressions."""
+"""Shared parts of the training-data operators: durable scratch tables, task counts, text expressions."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: The six code points that count as white space in all operators here.
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,6 +63,12 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int = 200_000) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each), 1)
 
 
+def settled(df: DataFrame, rows: int, rows_each: int = 50_000) -> DataFrame:
+    """Fewer tasks where a known number of rows needs fewer than the session's shuffle partitions; else unchanged."""
+    tasks = max(1, -(-rows // rows_each))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ASCII-only texts take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -77,24 +81,3 @@ def n_words(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """64-bit digest that tells rows of one doc_id apart; null and empty texts are alike."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def blocked(df: DataFrame, keys: list[str], spread: list[str], rows_each: int = 256) -> DataFrame:
-    """Adds ``_sub``: a hash of ``spread`` modulo a count that keeps a (keys, _sub) block near ``rows_each`` rows or below.
-
-    Rows alike in all of ``spread`` share a block, so ``spread`` has to tell most rows apart.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_n")).first()["_n"] or 0
-    subs = max(1, -(-largest // rows_each))
-    return df.withColumn("_sub", F.pmod(F.xxhash64(F.lit(11), *spread), F.lit(subs)).cast("long"))
-
-
-def block_bases(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (keys, _sub): how many rows of ``keys`` stand in blocks before it.  A row per block, never per document."""
-    before = Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(*keys, "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(*keys, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
-
-
-def long_schema(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))

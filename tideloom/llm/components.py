@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, settled
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = settled(both.groupBy("u").agg(F.min("v").alias("m")), rows).select("u", F.least("u", "m").alias("m"))
+    return settled(both.join(low, "u"), rows).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    low = settled(edges.groupBy("u").agg(F.min("v").alias("m")), rows)
+    moved = settled(edges.join(low, "u"), rows).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,15 +30,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and links of a node to itself are ignored; repeated links count once.
     """
-    now = durable(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
-    )
-    seen = None
+    now = durable(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "links")
+    now, seen = settled(now, now.count()).distinct(), None
+    now = durable(now, "links")
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or (state["n"], state["h"]) == seen:
             break
-        seen = (state["n"], state["h"])
-        now = durable(_small_star(_large_star(now)), "links")
+        seen, n = (state["n"], state["h"]), state["n"]
+        large = durable(settled(_large_star(settled(now, n), n).distinct(), n), "links")
+        now = durable(settled(_small_star(large, n).distinct(), n), "links")
     centres = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
+
+
+def merged_components(found: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """``found`` (node, component; ``rows`` of them) after more links (a, b): only the components they join are worked on."""
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    ends = settled(settled(links.join(side("a"), "a", "left"), rows).join(side("b"), "b", "left"), rows)
+    joined = connected_components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    moved = durable(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "joined")
+    kept = settled(found.join(moved, "component", "left"), rows).select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = moved.join(found, moved["component"] == found["node"], "left_anti").select(F.col("component").alias("node"), F.col("_to").alias("component"))
+    return kept.unionByName(settled(fresh, rows))

@@ -7,9 +7,9 @@ which neighbours meet adapts to the region.  Each document meets the next ``reac
 tree; members of regions with more documents than that meet again in further orders, across components only, until
 an order joins nothing.  Candidates are confirmed on the full shingle sets, links become components.
 
-Work that grows with a group of copies is avoided in two ways.  Documents with equal sets fall together first (a
-partial aggregate) and stand behind the one with the smallest doc_id.  And links are found in two rounds: adjacent
-documents of the first trees, then all other candidates whose ends don't hang together yet.
+Work that grows with the square of a group of copies is avoided: documents with equal sets fall together first (a
+partial aggregate) and stand behind the one with the smallest doc_id, a document meets a fixed number of neighbours
+in each order, and in further orders only documents of other components.
 
 Trees are range-partitioned by the whole sort key, so a region that holds a third of all rows spreads over ranges;
 the first and last rows of each range are matched across the border.  Sets are recomputed from the texts of
@@ -30,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_for
-from .components import connected_components
+from .common import durable, partitions_for, settled
+from .components import connected_components, merged_components
 from .shingles import mix, set_digest, shingle_sets
 
 TREES, DEPTH = 32, 4
-#: Trees whose adjacent documents are confirmed first.
-EARLY = 8
+#: Further orders that members of crowded regions meet in at a time; how far they look there, and how many of the 32
+#: hashes a pair shares at least (ten are expected at a similarity of 0.75).
+ORDERS, FURTHER, ALIKE = 2, 8, 6
 #: Slots of the bitmap that finds the texts of candidates; 64 ids to a slot.
 SLOTS = 1 << 17
 _U = np.uint64
@@ -91,67 +92,75 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return rows.mapInPandas(_signer(width), "doc_id long, n_shingles long, s1 long, s2 long, regions array<long>")
 
 
-_MET = "kind int, a long, b long, early boolean, range int, region long, tree long, place int, component long"
+_MET = "kind int, a long, b long, range int, region long, tree long, place int, component long"
 PAIR, TAIL, HEAD, CROWDED = range(4)
 
 
-def _neighbours(reach: int):
-    """Pairs within ``reach`` of each other in a region; rows at a range's borders; members of crowded regions."""
+def _neighbours(reach: int, further: bool):
+    """Pairs within ``reach`` of each other in a region, rows at a range's borders, and members of crowded regions.
 
-    def rows(kind, rep, other, early, number, region, tree, place, component) -> pd.DataFrame:
+    In further orders only pairs with ALIKE equal hashes count, and crowded regions are known.
+    """
+
+    def rows(kind, rep, other, number, region, tree, place, component) -> pd.DataFrame:
         return pd.DataFrame(
-            {"kind": kind, "a": rep, "b": other, "early": early, "range": number, "region": region, "tree": tree, "place": place, "component": component}
+            {"kind": kind, "a": rep, "b": other, "range": number, "region": region, "tree": tree, "place": place, "component": component}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b[["region", "tree", "rep", "component"]].to_numpy(np.int64) for b in batches]
+        held, hashes = [], []
+        for batch in batches:
+            held.append(batch[["region", "tree", "rep", "component"]].to_numpy(np.int64))
+            if further and len(batch):
+                hashes.append(np.stack(batch["regions"].to_list()))
         if not held or not sum(map(len, held)):
             return
+        hashes = np.concatenate(hashes) if hashes else None
         region, tree, rep, component = np.concatenate(held).T.copy()  # a range: a few hundred thousand rows
         number, n = TaskContext.get().partitionId(), len(rep)
-        a, b, early = [], [], []
+        a, b = [], []
         for d in range(1, min(reach, n - 1) + 1):
             i = np.flatnonzero((region[d:] == region[:-d]) & (component[d:] != component[:-d]))
+            if further:
+                i = i[(hashes[i] == hashes[i + d]).sum(1) >= ALIKE]
             a.append(np.minimum(rep[i], rep[i + d]))
             b.append(np.maximum(rep[i], rep[i + d]))
-            early.append((tree[i] < EARLY) & (d == 1))
         if a and sum(map(len, a)):
-            pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "early": np.concatenate(early)})
-            pairs = pairs.groupby(["a", "b"], as_index=False)["early"].max()
-            yield rows(PAIR, pairs["a"], pairs["b"], pairs["early"], 0, 0, 0, 0, 0)
+            pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            yield rows(PAIR, pairs["a"], pairs["b"], 0, 0, 0, 0, 0)
         for kind, part in ((HEAD, slice(0, reach)), (TAIL, slice(max(0, n - reach), n))):
             place = np.arange(n)[part] if kind == HEAD else n - 1 - np.arange(n)[part]
-            yield rows(kind, rep[part], rep[part], False, number, region[part], tree[part], place, component[part])
+            yield rows(kind, rep[part], rep[part], number, region[part], tree[part], place, component[part])
         start = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
         length = np.diff(np.append(start, n))
         large = length > reach + 1
         large[[0, -1]] |= length[[0, -1]] > 1  # they may go on beyond the border
-        m = np.flatnonzero(np.repeat(large, length))
+        m = () if further else np.flatnonzero(np.repeat(large, length))
         for at in range(0, len(m), 10_000):
             k = m[at : at + 10_000]
-            yield rows(CROWDED, rep[k], rep[k], False, number, region[k], tree[k], 0, component[k])
+            yield rows(CROWDED, rep[k], rep[k], number, region[k], tree[k], 0, component[k])
 
     return run
 
 
-def _meet(ordered: DataFrame, rows: int, reach: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, early) with a < b, and the members (region, tree, rep) of crowded regions.
+def _meet(ordered: DataFrame, rows: int, reach: int, name: str, further: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with a < b, and the members (region, tree, rep) of crowded regions.
 
     ``ordered``: region, k1, k2, tree, rep, component; rows of one component don't pair.
     """
     ranges = max(1, min(partitions_for(ordered.sparkSession, rows, 400_000), rows // 10_000))
     key = ["region", "k1", "k2", "rep"]
-    met = durable(ordered.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach), _MET), name)
+    met = durable(ordered.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach, further), _MET), name)
     tails = met.where(F.col("kind") == TAIL).select(
-        F.col("a").alias("x"), "region", "tree", (F.col("range") + 1).alias("range"), F.col("place").alias("back"), F.col("component").alias("cx")
+        F.col("a").alias("x"), "region", (F.col("range") + 1).alias("range"), F.col("place").alias("back"), F.col("component").alias("cx")
     )
     heads = met.where(F.col("kind") == HEAD).select(F.col("a").alias("y"), "region", "range", "place", F.col("component").alias("cy"))
-    across = tails.join(heads, ["region", "range"]).where((F.col("back") + F.col("place") < reach) & (F.col("cx") != F.col("cy")))
-    early = (F.col("tree") < EARLY) & (F.col("back") + F.col("place") == 0)
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), early.alias("early"))
-    pairs = met.where(F.col("kind") == PAIR).select("a", "b", "early").unionByName(across).where("a <> b")
-    crowded = met.where(F.col("kind") == CROWDED).select("region", "tree", F.col("a").alias("rep"))
-    return pairs.groupBy("a", "b").agg(F.max("early").alias("early")), crowded
+    border = 2 * reach * ranges
+    across = settled(settled(tails, border).join(settled(heads, border), ["region", "range"]), border).where((F.col("back") + F.col("place") < reach) & (F.col("cx") != F.col("cy")))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b").unionByName(across).where("a <> b")
+    members = met.where(F.col("kind") == CROWDED).select("region", "tree", F.col("a").alias("rep"))
+    return settled(pairs, met.count()).distinct(), members
 
 
 def forest(reps: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
@@ -183,11 +192,12 @@ def _confirm(part: int, whole: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs whose sets share at least part/whole of their union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, rows: int) -> DataFrame:
+    """The pairs whose sets share at least part/whole of their union; ``rows``: how many pairs there are at most."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInPandas(_confirm(part, whole), "a long, b long")
+    both = settled(settled(pairs.select("a", "b").join(x, "a"), rows, 5_000).join(y, "b"), rows, 5_000)
+    return both.mapInPandas(_confirm(part, whole), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,14 +211,19 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where("(shiftright(_bits, cast(_bit % 64 as int)) & 1) = 1").select("doc_id", "text")
 
 
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
-    side = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+def _split(members: DataFrame, components: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Members (region, tree, rep, regions) of regions with several components, with their component; and how many."""
+    if not rows:
+        return members, 0
+    own = components.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
+    placed = settled(members.drop("component").join(own, "rep", "left"), rows).withColumn("component", F.coalesce("_c", "rep")).drop("_c")
+    placed = durable(placed, "crowded")
+    several = placed.groupBy("region").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("region")
+    out = durable(settled(placed.join(settled(several, rows), "region", "left_semi"), rows), "crowded")
+    return out, out.count()
 
 
-def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reach: int = 4) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reach: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = durable(signatures(docs, width), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -216,34 +231,34 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
     groups = durable(groups.select("s1", "s2", "n_shingles", F.col("_g.doc_id").alias("rep"), F.col("_g.regions").alias("regions")), "equal-sets")
     pairs, crowded = forest(groups.select("rep", "regions"), reach)
     pairs = durable(pairs, "candidates")
+    n_pairs = pairs.count()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = durable(_texts_of(docs, ends).mapInPandas(_sets(width), "doc_id long, set binary"), "candidate-sets")
-    links = durable(confirmed(pairs.where("early"), sets, part, whole), "links")
-    found = durable(connected_components(links), "components")
-    more = durable(confirmed(_apart(pairs.where("NOT early"), found), sets, part, whole), "links")
-    links = links.unionByName(more)
+    links = durable(confirmed(pairs, sets, part, whole, n_pairs), "links")
     found = durable(connected_components(links), "components")
 
-    # members of crowded regions meet others in further orders, until an order joins nothing
-    members = durable(crowded.join(groups.select("rep", "regions"), "rep"), "crowded")
-    n, tried = members.count(), pairs.select("a", "b")
-    for turn in range(3, TREES - 1, 2) if n else ():
-        own = found.select(F.col("node").alias("rep"), "component")
-        at = lambda k: F.expr(f"get(regions, cast((tree + {k}) % {TREES} as int))")  # noqa: B023, E731
-        rows = members.join(own, "rep", "left").select(
-            "region", at(turn).alias("k1"), at(turn + 1).alias("k2"), "tree", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        met, _ = _meet(rows, n, reach, "further-neighbours")
-        fresh = durable(met.select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
-        new = durable(confirmed(fresh, sets, part, whole), "links")
+    # members of crowded regions that hold several components meet in further orders, until these join nothing
+    n, tried = crowded.count(), pairs
+    members = durable(settled(crowded.join(groups.select("rep", "regions"), "rep"), n), "crowded") if n else crowded
+    for turn in range(3, TREES // 2, ORDERS):
+        members, n = _split(members, found, n)
+        if not n:
+            break
+        rows = None
+        for order in range(turn, turn + ORDERS):
+            at = lambda k: F.expr(f"get(regions, cast((tree + {k}) % {TREES} as int))")
+            own = members.select(
+                F.xxhash64("region", F.lit(order)).alias("region"), at(2 * order - 3).alias("k1"), at(2 * order - 2).alias("k2"), "tree", "rep", "component", "regions"
+            )
+            rows = own if rows is None else rows.unionByName(own)
+        met, _ = _meet(rows, n * ORDERS, FURTHER, "further-neighbours", True)
+        fresh = durable(settled(met.join(tried, ["a", "b"], "left_anti"), n), "candidates")
+        new = durable(confirmed(fresh, sets, part, whole, fresh.count()), "links")
         tried = tried.unionByName(fresh)
         if new.isEmpty():
-            if turn > 3:
-                break
-            continue
-        links = links.unionByName(new)
-        found = durable(connected_components(links), "components")
+            break
+        found = durable(merged_components(found, new, found.count()), "components")
 
     placed = groups.drop("regions").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.select("s1", "s2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component"))
