@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.params import unflatten
 from tideloom.operators import control, serve, server, workers
 from tideloom.sources import records
-from tideloom.sources.storage import exists
+from tideloom.sources.storage import versions
 
 PIPELINE = "pipeline"
 #: Rounds of a micro-batch between two writes of the model.
@@ -29,11 +29,8 @@ class Job:
     # --- versions ---
 
     def _before(self, name: str, version: int) -> DataFrame | None:
-        if not exists(self.spark, f"{self.root}/{name}"):
-            return None
-        table = self.spark.read.parquet(f"{self.root}/{name}")
-        last = table.where(F.col("version") < version).agg(F.max("version")).first()[0]
-        return None if last is None else table.where(F.col("version") == last).drop("version")
+        there = [v for v in versions(self.spark, f"{self.root}/{name}") if v < version]
+        return self.spark.read.parquet(f"{self.root}/{name}/version={there[-1]}") if there else None
 
     def _write(self, df: DataFrame, name: str, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
