@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from tideloom.llm import near_dedup
@@ -60,3 +61,26 @@ def test_any_partitioning(spark, near_copies, partitions):
         assert sorted(map(tuple, near_dedup.link(near_copies.repartition(7)).collect()), key=repr) == brute(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    """200 pairs of similarity 146/194 = 0.753 in a crowd whose other pairs have 140/200 = 0.7."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(n)]
+    core, rows = words(144), []
+    for pair in range(200):
+        shared = words(6)
+        rows += [(2 * pair + k, " ".join(core + shared + words(24))) for k in range(2)]
+    return [rows[i] for i in rng.permutation(len(rows))]
+
+
+def test_crowded_regions_are_finished(spark, crowd):
+    got = near_dedup.link(spark.createDataFrame(crowd, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d - d % 2 for d, _ in crowd}
+
+
+def test_blocks_of_a_region(spark, crowd, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
+    got = near_dedup.link(spark.createDataFrame(crowd, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d - d % 2 for d, _ in crowd}

@@ -4,12 +4,15 @@ Every document's set of word shingles gives 128 minima, read as 32 hashes of fou
 hashes t, t+1, t+2: documents next to each other share the longest prefix, and sharing the first hash (four minima)
 makes them candidates.  Where a region is crowded, its members are ordered by eight and twelve minima, so the depth at
 which neighbours meet adapts to the region.  Each document meets the next ``reach`` documents of its region in each
-tree; members of regions with more documents than that meet again in further orders, across components only, until
-an order joins nothing.  Candidates are confirmed on the full shingle sets, links become components.
+tree.  Regions with more documents than that and several components are finished exactly: every pair of their members
+in different components is compared, by size and by parity sketches, which refuse no pair that is similar enough.
+Candidates are confirmed on the full shingle sets, links become components.  So two similar documents are missed only
+if they share none of the 32 regions.
 
 Work that grows with the square of a group of copies is avoided: documents with equal sets fall together first (a
-partial aggregate) and stand behind the one with the smallest doc_id, a document meets a fixed number of neighbours
-in each order, and in further orders only documents of other components.
+partial aggregate) and stand behind the one with the smallest doc_id, and pairs inside a region's largest component
+are never formed.  Sketches of the members outside it meet those of all members, in blocks; twice only the nearest of
+other components become rows, which joins most, and then every pair that is left.
 
 Trees are range-partitioned by the whole sort key, so a region that holds a third of all rows spreads over ranges;
 the first and last rows of each range are matched across the border.  Sets are recomputed from the texts of
@@ -35,9 +38,8 @@ from .components import connected_components, merged_components
 from .shingles import mix, set_digest, shingle_sets
 
 TREES, DEPTH = 32, 4
-#: Further orders that members of crowded regions meet in at a time; how far they look there, and how many of the 32
-#: hashes a pair shares at least (ten are expected at a similarity of 0.75).
-ORDERS, FURTHER, ALIKE = 2, 8, 6
+#: Members of a crowded region in a block, and 64-bit words of a set's parity sketch.
+BLOCK, WORDS = 4_000, 32
 #: Slots of the bitmap that finds the texts of candidates; 64 ids to a slot.
 SLOTS = 1 << 17
 _U = np.uint64
@@ -92,85 +94,64 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return rows.mapInPandas(_signer(width), "doc_id long, n_shingles long, s1 long, s2 long, regions array<long>")
 
 
-_MET = "kind int, a long, b long, range int, region long, tree long, place int, component long"
+_MET = "kind int, a long, b long, range int, region long, place int"
 PAIR, TAIL, HEAD, CROWDED = range(4)
 
 
-def _neighbours(reach: int, further: bool):
-    """Pairs within ``reach`` of each other in a region, rows at a range's borders, and members of crowded regions.
+def _neighbours(reach: int):
+    """Pairs within ``reach`` of each other in a region, rows at a range's borders, and members of crowded regions."""
 
-    In further orders only pairs with ALIKE equal hashes count, and crowded regions are known.
-    """
-
-    def rows(kind, rep, other, number, region, tree, place, component) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"kind": kind, "a": rep, "b": other, "range": number, "region": region, "tree": tree, "place": place, "component": component}
-        )
+    def rows(kind, rep, other, number, region, place) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "a": rep, "b": other, "range": number, "region": region, "place": place})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, hashes = [], []
-        for batch in batches:
-            held.append(batch[["region", "tree", "rep", "component"]].to_numpy(np.int64))
-            if further and len(batch):
-                hashes.append(np.stack(batch["regions"].to_list()))
-        if not held or not sum(map(len, held)):
+        held = [batch[["region", "rep"]].to_numpy(np.int64) for batch in batches]
+        if not sum(map(len, held)):
             return
-        hashes = np.concatenate(hashes) if hashes else None
-        region, tree, rep, component = np.concatenate(held).T.copy()  # a range: a few hundred thousand rows
+        region, rep = np.concatenate(held).T.copy()  # a range: a few hundred thousand rows
         number, n = TaskContext.get().partitionId(), len(rep)
         a, b = [], []
         for d in range(1, min(reach, n - 1) + 1):
-            i = np.flatnonzero((region[d:] == region[:-d]) & (component[d:] != component[:-d]))
-            if further:
-                i = i[(hashes[i] == hashes[i + d]).sum(1) >= ALIKE]
+            i = np.flatnonzero(region[d:] == region[:-d])
             a.append(np.minimum(rep[i], rep[i + d]))
             b.append(np.maximum(rep[i], rep[i + d]))
         if a and sum(map(len, a)):
             pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-            yield rows(PAIR, pairs["a"], pairs["b"], 0, 0, 0, 0, 0)
+            yield rows(PAIR, pairs["a"], pairs["b"], 0, 0, 0)
         for kind, part in ((HEAD, slice(0, reach)), (TAIL, slice(max(0, n - reach), n))):
             place = np.arange(n)[part] if kind == HEAD else n - 1 - np.arange(n)[part]
-            yield rows(kind, rep[part], rep[part], number, region[part], tree[part], place, component[part])
+            yield rows(kind, rep[part], rep[part], number, region[part], place)
         start = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
         length = np.diff(np.append(start, n))
         large = length > reach + 1
-        large[[0, -1]] |= length[[0, -1]] > 1  # they may go on beyond the border
-        m = () if further else np.flatnonzero(np.repeat(large, length))
+        large[[0, -1]] = True  # they may go on beyond the border
+        m = np.flatnonzero(np.repeat(large, length))
         for at in range(0, len(m), 10_000):
             k = m[at : at + 10_000]
-            yield rows(CROWDED, rep[k], rep[k], number, region[k], tree[k], 0, component[k])
+            yield rows(CROWDED, rep[k], rep[k], number, region[k], 0)
 
     return run
 
 
-def _meet(ordered: DataFrame, rows: int, reach: int, name: str, further: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) with a < b, and the members (region, tree, rep) of crowded regions.
-
-    ``ordered``: region, k1, k2, tree, rep, component; rows of one component don't pair.
-    """
-    ranges = max(1, min(partitions_for(ordered.sparkSession, rows, 400_000), rows // 10_000))
+def forest(reps: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """All trees over ``reps`` (rep, regions): pairs (a, b) with a < b, and the members (region, rep) of crowded regions."""
+    at = lambda k: f"get(regions, (t + {k}) % {TREES})"
+    each = f"explode(transform(sequence(0, {TREES - 1}), t -> struct({at(0)} AS region, {at(1)} AS k1, {at(2)} AS k2)))"
+    trees = reps.select("rep", F.expr(each).alias("_t")).select("rep", "_t.*")
+    rows = reps.count() * TREES
+    ranges = max(1, min(partitions_for(reps.sparkSession, rows, 400_000), rows // 10_000))
     key = ["region", "k1", "k2", "rep"]
-    met = durable(ordered.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach, further), _MET), name)
-    tails = met.where(F.col("kind") == TAIL).select(
-        F.col("a").alias("x"), "region", (F.col("range") + 1).alias("range"), F.col("place").alias("back"), F.col("component").alias("cx")
-    )
-    heads = met.where(F.col("kind") == HEAD).select(F.col("a").alias("y"), "region", "range", "place", F.col("component").alias("cy"))
+    met = durable(trees.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach), _MET), "forest-neighbours")
+    tails = met.where(F.col("kind") == TAIL).select(F.col("a").alias("x"), "region", (F.col("range") + 1).alias("range"), F.col("place").alias("back"))
+    heads = met.where(F.col("kind") == HEAD).select(F.col("a").alias("y"), "region", "range", "place")
     border = 2 * reach * ranges
-    across = settled(settled(tails, border).join(settled(heads, border), ["region", "range"]), border).where((F.col("back") + F.col("place") < reach) & (F.col("cx") != F.col("cy")))
+    across = settled(settled(tails, border).join(settled(heads, border), ["region", "range"]), border).where(F.col("back") + F.col("place") < reach)
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = met.where(F.col("kind") == PAIR).select("a", "b").unionByName(across).where("a <> b")
-    members = met.where(F.col("kind") == CROWDED).select("region", "tree", F.col("a").alias("rep"))
+    members = met.where(F.col("kind") == CROWDED).select("region", F.col("a").alias("rep"))
     return settled(pairs, met.count()).distinct(), members
 
 
-def forest(reps: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
-    """All trees over ``reps`` (rep, regions)."""
-    at = lambda k: f"get(regions, (t + {k}) % {TREES})"
-    each = f"explode(transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, {at(0)} AS region, {at(1)} AS k1, {at(2)} AS k2)))"
-    trees = reps.select("rep", F.expr(each).alias("_t")).select("rep", "_t.*", F.col("rep").alias("component"))
-    return _meet(trees, reps.count() * TREES, reach, "forest-neighbours")
-
-
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -212,7 +193,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _split(members: DataFrame, components: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Members (region, tree, rep, regions) of regions with several components, with their component; and how many."""
+    """Members (region, rep) of regions with several components, with their component; and how many."""
     if not rows:
         return members, 0
     own = components.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
@@ -223,6 +204,84 @@ def _split(members: DataFrame, components: DataFrame, rows: int) -> tuple[DataFr
     return out, out.count()
 
 
+def parity_sketch(own: np.ndarray) -> bytes:
+    """Every element flips one of the bits: two sketches differ in at most as many bits as their sets in elements."""
+    odd = np.bincount((mix(own) % _U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in b["set"]]
+        yield pd.DataFrame({"rep": b["doc_id"], "n": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
+
+
+def _cells(members: DataFrame, rows: int) -> DataFrame:
+    """Members (region, rep, component) dealt to cells (region, i, j).
+
+    The left side of a cell is a block of those outside the region's largest component, the right side one of all.
+    """
+    sizes = settled(members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("_n")), rows)
+    main = settled(sizes.groupBy("region").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_m")), rows)
+    main = main.select("region", F.ceil(F.col("_all") / BLOCK).alias("_js"), F.ceil((F.col("_all") - F.col("_m._n")) / BLOCK).alias("_is"), F.col("_m.component").alias("_main"))
+    placed = settled(members.join(main, "region"), rows).withColumn("outside", F.col("component") != F.col("_main"))
+    own = lambda k, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(k)).alias(k[1])
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(k[1])
+    side = lambda left: F.lit(left).alias("left")
+    right = placed.select("region", "rep", "component", "outside", side(False), own("_js", 1), each("_is"))
+    left = placed.where("outside").select("region", "rep", "component", "outside", side(True), own("_is", 2), each("_js"))
+    return left.unionByName(right)
+
+
+def _compare(part: int, whole: int, nearest: bool):
+    """Pairs of different components in a cell that may be similar enough; or of each left row only the nearest.
+
+    A pair with part/whole of its union in common differs in at most (whole - part) / (whole + part) of its sizes' sum.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pd.concat(held, ignore_index=True).sort_values(["region", "i", "j", "left", "n"], ignore_index=True)
+        cell = t[["region", "i", "j"]].to_numpy(np.int64)
+        rep, component, n = (t[c].to_numpy(np.int64) for c in ("rep", "component", "n"))
+        left, outside = t["left"].to_numpy(bool), t["outside"].to_numpy(bool)
+        bits = np.frombuffer(b"".join(t["sketch"]), dtype=np.uint64).reshape(len(t), WORDS)
+        start = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(1))))
+        a, b, size = [], [], 0
+        for lo, hi in zip(start, np.append(start[1:], len(t))):
+            mid = lo + int(np.searchsorted(left[lo:hi], True))  # right rows by size, then left ones
+            for x in range(mid, hi):
+                k = np.arange(lo + np.searchsorted(n[lo:mid], -(-part * n[x] // whole)), lo + np.searchsorted(n[lo:mid], whole * n[x] // part, "right"))
+                keep = component[k] != component[x]
+                if not nearest:  # two outside ones meet from both sides
+                    keep &= ~outside[k] | (rep[k] > rep[x])
+                k = k[keep]
+                differ = np.bitwise_count(bits[k] ^ bits[x]).sum(1, dtype=np.int64)
+                may = (whole + part) * differ <= (whole - part) * (n[k] + n[x])
+                k = k[may]
+                if nearest and len(k):
+                    k = k[[np.argmin(differ[may] / (n[k] + n[x]))]]
+                a.append(np.minimum(rep[k], rep[x]))
+                b.append(np.maximum(rep[k], rep[x]))
+                size += len(k)
+            if size > 100_000:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+                a, b, size = [], [], 0
+        if size:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    return run
+
+
+def _finish(members: DataFrame, rows: int, sketches: DataFrame, part: int, whole: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) with a < b of ``members`` (region, rep, component) in different components of a region."""
+    dealt = durable(_cells(members, rows), "cells")
+    tasks = max(1, -(-dealt.count() // 5_000))
+    return dealt.join(sketches, "rep").repartition(tasks, "region", "i", "j").mapInPandas(_compare(part, whole, nearest), "a long, b long")
+
+
 def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reach: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     signed = durable(signatures(docs, width), "signatures")
@@ -238,27 +297,22 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
     links = durable(confirmed(pairs, sets, part, whole, n_pairs), "links")
     found = durable(connected_components(links), "components")
 
-    # members of crowded regions that hold several components meet in further orders, until these join nothing
-    n, tried = crowded.count(), pairs
-    members = durable(settled(crowded.join(groups.select("rep", "regions"), "rep"), n), "crowded") if n else crowded
-    for turn in range(3, TREES // 2, ORDERS):
+    # regions that hold several components: the nearest of other components twice, then every pair that is left
+    members, n, tried, sketches = crowded, crowded.count(), pairs, None
+    for nearest in (True, True, False):
         members, n = _split(members, found, n)
         if not n:
             break
-        rows = None
-        for order in range(turn, turn + ORDERS):
-            at = lambda k: F.expr(f"get(regions, cast((tree + {k}) % {TREES} as int))")
-            own = members.select(
-                F.xxhash64("region", F.lit(order)).alias("region"), at(2 * order - 3).alias("k1"), at(2 * order - 2).alias("k2"), "tree", "rep", "component", "regions"
-            )
-            rows = own if rows is None else rows.unionByName(own)
-        met, _ = _meet(rows, n * ORDERS, FURTHER, "further-neighbours", True)
-        fresh = durable(settled(met.join(tried, ["a", "b"], "left_anti"), n), "candidates")
+        if sketches is None:
+            reps = settled(members.select(F.col("rep").alias("doc_id")).distinct(), n)
+            sketches = durable(settled(sets.join(reps, "doc_id", "left_semi"), n, 5_000).mapInPandas(_sketches, "rep long, n long, sketch binary"), "sketches")
+        met = durable(_finish(members, n, sketches, part, whole, nearest), "met")
+        n_met = met.count()
+        fresh = durable(settled(settled(met, n_met).distinct().join(tried, ["a", "b"], "left_anti"), n_met), "candidates")
         new = durable(confirmed(fresh, sets, part, whole, fresh.count()), "links")
         tried = tried.unionByName(fresh)
-        if new.isEmpty():
-            break
-        found = durable(merged_components(found, new, found.count()), "components")
+        if not new.isEmpty():
+            found = durable(merged_components(found, new, found.count()), "components")
 
     placed = groups.drop("regions").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.select("s1", "s2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component"))
