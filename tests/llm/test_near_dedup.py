@@ -84,3 +84,16 @@ def test_blocks_of_a_region(spark, crowd, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 30)
     got = near_dedup.link(spark.createDataFrame(crowd, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d - d % 2 for d, _ in crowd}
+
+
+def test_few_equal_hashes_are_enough(spark, crowd):
+    """Pairs that share 1 to 5 of the 32 regions are linked like any other."""
+    texts = dict(crowd)
+    sets = list(near_dedup.shingle_sets([texts[d] for d in sorted(texts)], 5))
+    hashes = near_dedup.region_hashes(sets)
+    equal = (hashes[::2] == hashes[1::2]).sum(1)
+    few = [2 * int(p) for p in np.flatnonzero((equal >= 1) & (equal <= 5))]
+    assert few
+    got = near_dedup.link(spark.createDataFrame(crowd, "doc_id long, text string"))
+    component = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert [d for d in few if component[d] != component[d + 1]] == []
