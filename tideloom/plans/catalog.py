@@ -641,14 +641,18 @@ def bucket_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- serving and pipelines --------------------------------------------------------------------------------------
 
 
-def _two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pipelines trained on all training records of E: a classifier on labels, a regressor on values."""
-    e = e_points(spark, sf_dir).where("operation = 'training' AND event_id % 3 = 0")
+def _two_models(spark: SparkSession, sf_dir: str, some: str = "true") -> DataFrame:
+    """Two pipelines trained on all training records of E, or on those that meet ``some``: a classifier on labels, a regressor on values."""
+    e = e_points(spark, sf_dir).where("operation = 'training'").where(some)
     one = learners.fit_in_order(e.withColumn("pipeline", F.lit(1)), ["pipeline"], "event_id", "PA").withColumn("kind", F.lit("PA"))
     two = e.withColumns({"pipeline": F.lit(2), "y": F.col("value")})
     return one.unionByName(learners.fit_in_order(two, ["pipeline"], "event_id", "regressorPA").withColumn("kind", F.lit("regressorPA")))
 
 
+#: The records that the SQL of predict_all_pipelines and query_response trains on; the queries named whole_ take all.
+_THIRD = "event_id % 3 = 0"
+
+
 def _two_sql() -> str:
     thirds = "tr3 AS (SELECT *, 1 AS p FROM tr WHERE event_id % 3 = 0)"
     return f"{_TRAIN}, {thirds}, {_fold_sql('PA', 'tr3', 'p', 'event_id', 'y', 'm')}, {_fold_sql('regressorPA', 'tr3', 'p', 'event_id', 'value', 'n')}"
@@ -658,8 +662,17 @@ def _two_sql() -> str:
 SELECT event_id, 1 AS pipeline, CASE WHEN w0 * x0 + w1 * x1 + b >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM te, m_last
 UNION ALL SELECT event_id, 2, round(w0 * x0 + w1 * x1 + b, 5) + 0.0::DOUBLE FROM te, n_last""")
 def predict_all_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir, _two_models(spark, sf_dir, _THIRD))
+
+
+@query()
+def whole_predict_all_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predictions(spark, sf_dir, _two_models(spark, sf_dir))
+
+
+def _predictions(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame:
     test = e_points(spark, sf_dir).where("operation = 'forecasting'").select("event_id", "x")
-    return serve.predict_all(test, _two_models(spark, sf_dir)).select("event_id", "pipeline", (F.round("prediction", 5) + 0.0).alias("prediction"))
+    return serve.predict_all(test, models).select("event_id", "pipeline", (F.round("prediction", 5) + 0.0).alias("prediction"))
 
 
 @query(f"""WITH RECURSIVE {_two_sql()}
@@ -667,7 +680,15 @@ SELECT 11::BIGINT AS response_id, 1 AS id, 'PA' AS learner, any_value(rn)::BIGIN
        round(avg(CASE WHEN (w0 * x0 + w1 * x1 + b >= 0) = (te.y > 0) THEN 1.0::DOUBLE ELSE 0 END), 5) AS score FROM te, m_last
 UNION ALL SELECT 12, 2, 'regressorPA', any_value(rn), round(sqrt(avg((value - (w0 * x0 + w1 * x1 + b)) ** 2)), 5) FROM te, n_last""")
 def query_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = _two_models(spark, sf_dir)
+    return _responses(spark, sf_dir, _two_models(spark, sf_dir, _THIRD))
+
+
+@query()
+def whole_query_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, sf_dir, _two_models(spark, sf_dir))
+
+
+def _responses(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame:
     test = e_points(spark, sf_dir).where("operation = 'forecasting'")
     test = test.withColumn("pipeline", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("y", F.when(F.col("pipeline") == 1, F.col("y")).otherwise(F.col("value")))
     asked = spark.createDataFrame([(11, 1), (12, 2)], "requestId long, pipeline int")
