@@ -61,3 +61,25 @@ def test_responses_count_all_training_records(spark, few_events):
     got = {r["id"]: (r["data_fitted"], r["score"]) for r in catalog.QUERIES["whole_query_response"](spark, folder).collect()}
     assert {k: n for k, (n, _) in got.items()} == {1: 2400, 2: 2400}
     assert [got[1][1], got[2][1]] == pytest.approx([met, off], abs=2e-5)
+
+
+def test_parameter_server_takes_every_round(spark, few_events):
+    folder, rows = few_events
+    rows = rows.assign(worker=rows["event_id"] // 3 % 4)
+    rows["position"] = rows.groupby("worker").cumcount()
+    rows = rows[(rows["worker"] != 0) | (rows["position"] % 10 < 8)].copy()
+    rows["round"] = rows.groupby("worker").cumcount() // 256
+    w, want = np.zeros(3), {}
+    for r in range(rows["round"].max() + 1):
+        parts = {k: part for k, part in rows[rows["round"] == r].groupby("worker")}
+        moved = {k: fold(part, "y", w) - w for k, part in parts.items()}
+        want |= {(r, k): [*moved[k], len(parts[k])] for k in parts}
+        w = w + sum(moved.values()) / 4
+    assert rows["round"].max() == 2
+    got = {(r["round"], r["worker"]): [r["d0"], r["d1"], r["d2"], r["fitted"]] for r in catalog.QUERIES["ps_all_deltas"](spark, folder).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-6)
+    last = catalog.QUERIES["ps_all_rounds"](spark, folder).collect()
+    assert [tuple(r)[-1] for r in last] == [len(rows)]
+    assert [last[0][c] for c in ("w0", "w1", "b")] == pytest.approx(w.tolist(), abs=2e-6)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideloom.functions.linalg import gathered
 from tideloom.functions.params import flatten, linear, unflatten
 
-from .learners import C, EPSILON, fold_batch, label
+from .learners import C, EPSILON, _step, fold_batch, label
 
 
 def batches(points: DataFrame, keys: list[str], order: str, kind: str = "PA") -> DataFrame:
@@ -58,9 +63,53 @@ def train_rounds(points: DataFrame, keys: list[str], order: str, width: int, wor
     return models
 
 
+def round_deltas(points: DataFrame, keys: list[str], order: str, width: int, workers: int, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
+    """The deltas (keys, round, worker, delta, fitted) of every round of synchronous training, as ``train_rounds`` takes them.
+
+    Streams a key's rounds in order through one task, which holds the global model and one delta a worker, not the rows:
+    a job a round isn't needed.  The global model after all rounds is the sum of the deltas over the number of workers.
+    """
+    y = label(F.col("y")) if kind == "PA" else F.col("y")
+    rows = points.select(*keys, "round", "worker", order, "x", y.cast("double").alias("y")).where(F.col("y").isNotNull())
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "round", "worker", order).drop(order)
+    schema = T.StructType([rows.schema[k] for k in keys]).add("round", T.IntegerType()).add("worker", T.IntegerType())
+    schema = schema.add("delta", T.ArrayType(T.DoubleType())).add("fitted", T.LongType())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = number = worker = v = w = None
+        fitted, step, out = 0, None, []
+
+        def close():  # the worker's mini-batch ends
+            if worker is not None:
+                out.append((*key, number, worker, (w - v).tolist(), fitted))
+                return step + (w - v) / workers
+            return step
+
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                k, r, who, x, y = row[:-4], *row[-4:]
+                if (k, r, who) != (key, number, worker):
+                    step = close()
+                    if k != key:
+                        v, step = np.zeros(width + 1), np.zeros(width + 1)
+                    elif r != number:
+                        v, step = v + step, np.zeros(width + 1)
+                    key, number, worker, w, fitted = k, r, who, v, 0
+                moved, b = _step(kind, np.asarray(x, dtype=float), y, w[:-1], w[-1], c, epsilon)
+                w, fitted = np.append(moved, b), fitted + 1
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
+                out.clear()
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return dealt.mapInPandas(run, schema)
+
+
 def as_model(models: DataFrame) -> DataFrame:
     """Flat global models as STRUCT<w, b>."""
     return models.withColumn("model", unflatten(F.col("v")))
 
 
-__all__ = ["as_model", "averaged", "batches", "deltas", "linear", "train_rounds"]
+__all__ = ["as_model", "averaged", "batches", "deltas", "linear", "round_deltas", "train_rounds"]

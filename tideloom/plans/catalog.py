@@ -500,6 +500,23 @@ def ps_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _global(server.train_rounds(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P, 2))
 
 
+def _all_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = workers.holdout(_assigned(spark, sf_dir), "event_id").where("NOT held")
+    return server.round_deltas(workers.rounds(training, "event_id").withColumn("pipeline", F.lit(1)), ["pipeline"], "event_id", 2, P)
+
+
+@query()
+def ps_all_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every worker's delta of every round, at the production batch."""
+    return _all_deltas(spark, sf_dir).select("round", "worker", *[r6(la.at("delta", i)).alias(f"d{i}") for i in range(3)], "fitted")
+
+
+@query()
+def ps_all_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The global model after all rounds, at the production batch."""
+    return _global(server.averaged(_all_deltas(spark, sf_dir), None, ["pipeline"], P))
+
+
 # --- linear algebra ---------------------------------------------------------------------------------------------
 
 
