@@ -11,8 +11,8 @@ punctuation and digits, repetition, token length, size).  The weights are fitted
 that goes out has ``2**bits`` weights, whatever the corpus.
 
 Defined cases: null and empty texts have only the measures' features; ratings with a null doc_id or null quality are
-left out, a null toxic counts as 0; documents that repeat a doc_id are scored row by row, and all of them are learned
-from; without two grades among the ratings every document gets the same score; an empty table gives no rows.
+left out, a null toxic counts as 0; documents that repeat a doc_id are scored row by row, and their rows are learned from
+while the sample has room; without two grades among the ratings every document gets the same score; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _values(flat: np.ndarray) -> np.ndarray:
-    return np.where(flat < MEASURED, np.float32(BAND_VALUE), np.float32(1))
+def _values(flat: np.ndarray, bands: int = MEASURED) -> np.ndarray:
+    """What features count for; the first ``bands`` numbers are bands of measures."""
+    return np.where(flat < bands, np.float32(BAND_VALUE), np.float32(1))
 
 
 @dataclass
@@ -118,12 +119,13 @@ class Model:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 120, noise: float = 1.0, rate: float = 0.3) -> Model:
+def fit(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 120, noise: float = 1.0, rate: float = 0.3, each: int = 512) -> Model:
     """Proximal AdaGrad on the cumulative-link likelihood of all documents at once.
 
     A feature that d of n documents have gets a weight only while its mean gradient exceeds ``noise * sqrt(d) / n``,
     which is what chance gives it, so rare tokens without a message stay at 0.  Thresholds stay ordered, as sums of
-    positive steps.
+    positive steps.  The gradient is summed over blocks of ``each`` documents, so that only features (six bytes each)
+    are held for all of them; ``docs`` is emptied as they are taken over.
     """
     n, size = len(docs), 1 << bits
     share = np.array([np.clip((grades <= j).mean() if n else 0.5, 0.01, 0.99) for j in range(n_grades - 1)])
@@ -132,31 +134,40 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, ro
     weights = np.zeros(size)
     if len(np.unique(grades)) < 2:
         return Model(bits, weights, np.concatenate(([base], base + np.cumsum(np.exp(steps)))))
-    flat = np.concatenate(docs)
-    held = np.bincount(flat, minlength=size)
+    held = np.zeros(size, dtype=np.int32)
+    for d in docs:
+        held[d] += 1  # a document's features are distinct
     known = np.flatnonzero(held >= 3)
     place = np.full(size, -1, dtype=np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
-    value, flat = _values(flat), place[flat]
-    live = flat >= 0
-    row, value, flat = row[live], value[live], flat[live]
-    w, g2 = np.zeros(len(known)), np.full(len(known), 1e-12)
-    least, t2, y, i = noise * np.sqrt(held[known]) / n, np.full(n_grades - 1, 1e-12), grades, np.arange(n)
+    blocks = []
+    docs.reverse()
+    while docs:
+        part = [place[docs.pop()] for _ in range(min(each, len(docs)))]
+        part = [p[p >= 0] for p in part]
+        blocks.append((len(part), np.repeat(np.arange(len(part), dtype=np.int16), [len(p) for p in part]), np.concatenate(part)))
+    del place
+    w, g2, bands = np.zeros(len(known)), np.full(len(known), 1e-12), int(np.searchsorted(known, MEASURED))
+    least, t2 = noise * np.sqrt(held[known]) / n, np.full(n_grades - 1, 1e-12)
     for _ in range(rounds):
-        score = np.bincount(row, w[flat] * value, minlength=n)
+        g, d_cut, at = np.zeros(len(w)), np.zeros(n_grades - 1), 0
         cut = np.concatenate(([base], base + np.cumsum(np.exp(steps))))
-        below = _sigmoid(cut[None, :] - score[:, None])
-        edge = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), 1)
-        slope = np.concatenate((np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))), 1)
-        p = np.maximum(edge[i, y + 1] - edge[i, y], 1e-9)
-        upper, lower = slope[i, y + 1] / p, slope[i, y] / p
-        g = np.bincount(flat, (upper - lower)[row] * value, minlength=len(w)) / n  # of minus the log-likelihood
+        for m, row, flat in blocks:
+            value, y, i = _values(flat, bands), grades[at : at + m], np.arange(m)
+            score = np.bincount(row, w[flat] * value, minlength=m)
+            below = _sigmoid(cut[None, :] - score[:, None])
+            edge = np.concatenate((np.zeros((m, 1)), below, np.ones((m, 1))), 1)
+            slope = np.concatenate((np.zeros((m, 1)), below * (1 - below), np.zeros((m, 1))), 1)
+            p = np.maximum(edge[i, y + 1] - edge[i, y], 1e-9)
+            upper, lower = slope[i, y + 1] / p, slope[i, y] / p
+            g += np.bincount(flat, (upper - lower)[row] * value, minlength=len(w))  # of minus the log-likelihood
+            d_cut += [lower[y == j + 1].sum() - upper[y == j].sum() for j in range(n_grades - 1)]
+            at += m
+        g, d_cut = g / n, d_cut / n
         g2 += g**2
         step = rate / np.sqrt(g2)
         moved = w - step * g
         w = np.sign(moved) * np.maximum(np.abs(moved) - step * least, 0)
-        d_cut = np.array([lower[y == j + 1].sum() - upper[y == j].sum() for j in range(n_grades - 1)]) / n
         d_par = np.concatenate(([d_cut.sum()], [np.exp(steps[j]) * d_cut[j + 1 :].sum() for j in range(len(steps))]))
         t2 += d_par**2
         move = 0.2 * d_par / np.sqrt(t2)
@@ -173,23 +184,28 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 def _featured(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"grade": b["grade"], "f": [f.tobytes() for f in features(b["text"], bits)]})
+            yield b.drop(columns=["text"]).assign(f=[f.tobytes() for f in features(b["text"], bits)])
 
     return run
 
 
+def _rated(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature lists and grades of at most ``sample`` rows: those of the smallest hashes of doc_id, ties by grade and text."""
+    order = ["_h", "doc_id", "grade"]
+    known = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull())
+    chosen = known.select(F.xxhash64(F.lit(3), "doc_id").alias("_h"), "doc_id", "grade").orderBy(*order).limit(sample)
+    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    each = rated.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "grade", text_key(F.col("text")).alias("_key"), "text")
+    found = each.mapInPandas(_featured(bits), "_h long, doc_id long, grade int, _key long, f binary")
+    # a rated doc_id may stand on any number of rows, so the bound comes after the join
+    rows = found.orderBy(*order, "_key").limit(sample).select("grade", "f").toArrow()
+    return [np.frombuffer(f.as_py(), dtype=np.int32) for f in rows.column("f")], rows.column("grade").to_numpy().astype(np.int64)
+
+
 def train(docs: DataFrame, ratings: DataFrame, sample: int = 8_000, bits: int = 20, n_grades: int = 3) -> Model:
     """``ratings``: doc_id, grade (0 .. n_grades - 1).  The driver holds at most ``sample`` feature lists."""
-    chosen = (
-        ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull())
-        .select("doc_id", "grade")
-        .orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "grade")
-        .limit(sample)
-    )
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rated.select("grade", "text").mapInPandas(_featured(bits), "grade int, f binary").toArrow()
-    lists = [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in rows.column("f")]
-    return fit(lists, rows.column("grade").to_numpy().astype(np.int64), n_grades, bits)
+    lists, grades = _rated(docs, ratings, sample, bits)
+    return fit(lists, grades, n_grades, bits)
 
 
 def _scorer(model, column: str):
