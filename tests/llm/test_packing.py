@@ -11,7 +11,7 @@ from tideloom.llm import packing
 
 def check(rows, texts, capacity):
     """Pieces rebuild the documents' ids, and sequences have no gap, overlap or excess."""
-    slow = Tokenizer.from_file(packing.default_vocabulary()[0])
+    slow = Tokenizer.from_file(packing.default_vocabulary())
     ids = {d: np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for d, t in texts}
     placed, at = {}, {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
@@ -70,10 +70,22 @@ def test_plan_places_every_piece(histogram):
             end += length
         assert end <= 64
     total = sum(k * v for k, v in histogram.items())
-    assert len(fill) <= 1.5 * total / 64 + 1
+    # no packing takes fewer: all ids fill so many sequences, and two pieces of over half a sequence never share one
+    least = max(-(-total // 64), sum(n for k, n in histogram.items() if k > 32))
+    assert len(fill) <= 1.5 * least + 1
 
 
-@pytest.mark.parametrize("text", ["It's 12,000 – naïve…  \n\n\t x", "日本語テキスト \U0001f600", "<|endoftext|>", "a" * 5000, " " * 3000 + "x", "é ​  　 ½ Ⅷ ١٢"])
-def test_fast_ids_are_the_tokenizers(text):
-    encode = packing.encoder(*packing.default_vocabulary())
-    assert encode.fast is not None and encode(text) == encode._slow(text)
+def test_batches_give_the_ids_of_single_texts():
+    rng = np.random.default_rng(5)
+    texts = ["It's 12,000 – naïve…  \n\n\t x", "日本語テキスト \U0001f600", "<|endoftext|>", "a" * 5000, " " * 3000 + "x", "é \u200b\u3000 ½ Ⅷ ١٢", ""]
+    texts += ["".join(map(chr, rng.integers(1, 0xD7FF, int(rng.integers(1, 60))))) for _ in range(500)]
+    slow = Tokenizer.from_file(packing.default_vocabulary())
+    assert packing.encoder(packing.default_vocabulary())(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_hold_every_text_once():
+    texts = ["x" * n for n in (0, 5, 90, 3, 3, 200, 1)]
+    for limit in (1, 10, 100, 1000):
+        spans = list(packing._runs(texts, limit))
+        assert [i for a, b in spans for i in range(a, b)] == list(range(len(texts))) and all(b > a for a, b in spans)
+    assert list(packing._runs([])) == []

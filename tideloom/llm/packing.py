@@ -9,11 +9,11 @@ offset in sequences s .. s+n-1.
 
 Pieces get their rank among equal lengths from block counts (a few hundred rows to a block), so a length that holds a
 third of all pieces is spread, and look their place up in the plan, whose size depends on the capacity and not on the
-corpus.
+corpus.  A piece's block comes from its document and from the number its row got when pieces were written, so rows that
+are alike spread too.  Triples of lengths are enumerated around ``thirds`` quantiles of the lengths only, a bound on the
+plan's work: pieces that no pattern takes are packed best fit, so every piece is placed.
 
-Token ids are those of the ``tokenizers`` file.  Byte-level vocabularies whose ranks are also at hand are encoded by
-``tiktoken``, which gives the same ids several times faster; a worker compares both on a probe text first, and texts
-that hold a special token's string, or that ``tiktoken`` refuses, go through ``tokenizers``.
+Token ids are those of the ``tokenizers`` file, a batch of texts at a time.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed row by row; an empty
 table gives no rows; other columns are not read.
@@ -21,66 +21,59 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import base64
-import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import durable, text_key
 
-PIECES = "doc_id long, _key long, piece int, start long, length long, ids_crc32 long"
-_PROBE = "It's a 1st probe:\n\n  naïve café — «déjà vu», 12345!!  'Tis ¿qué?\tßüö 日本 \U0001f600 \n"
+PIECES = "doc_id long, _key long, _row long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers."""
+    """Ids of whole texts by a ``tokenizers`` file."""
 
-    def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.slow, self.fast = Tokenizer.from_file(json_path), None
-        self.special = [t["content"] for t in json.load(open(json_path, encoding="utf-8")).get("added_tokens", [])]
-        if ranks_path and pattern:
-            import tiktoken
+        self._of = Tokenizer.from_file(path)
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            if fast.encode_ordinary(_PROBE) == self._slow(_PROBE):
-                self.fast = fast
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _slow(self, text: str) -> list[int]:
-        return self.slow.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
-            return self._slow(text)
-        try:
-            return self.fast.encode_ordinary(text)
-        except BaseException as e:  # noqa: BLE001  a panic of its regex engine isn't an Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return self._slow(text)
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def encoder(*paths) -> Encoder:
-    if paths not in _encoders:
-        _encoders[paths] = Encoder(*paths)
-    return _encoders[paths]
+def default_vocabulary() -> str:
+    """Path of the vocabulary; a parameter everywhere below."""
+    import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-def default_vocabulary() -> tuple[str, str, str]:
-    """Paths of the vocabulary and its ranks, and the split pattern; a parameter everywhere below."""
-    import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+def _runs(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Spans of texts of about ``limit`` characters together; a longer text is a span of its own."""
+    low = size = 0
+    for i, text in enumerate(texts):
+        if i > low and size + len(text) > limit:
+            yield low, i
+            low, size = i, 0
+        size += len(text)
+    if texts:
+        yield low, len(texts)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -90,17 +83,19 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(ids)])]
 
 
-def _tokenise(vocabulary, capacity: int, end: int):
+def _tokenise(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(*vocabulary)
+        encode, row = encoder(vocabulary), TaskContext.get().partitionId() << 36
         for b in batches:
-            out = []
-            for doc, key, text in zip(b["doc_id"], b["_key"], b["text"]):
-                ids = np.array([*(encode(text) if text else ()), end], dtype="<u4")
-                for k, (start, length) in enumerate(cut(ids, capacity)):
-                    out.append((None if pd.isna(doc) else int(doc), key, k, start, length, zlib.crc32(ids[start : start + length])))
-            frame = pd.DataFrame(out, columns=["doc_id", "_key", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            texts, docs, keys, out = [t or "" for t in b["text"]], b["doc_id"].tolist(), b["_key"].tolist(), []
+            for low, high in _runs(texts):
+                for i, found in enumerate(encode(texts[low:high]), low):
+                    ids = np.empty(len(found) + 1, dtype="<u4")
+                    ids[:-1], ids[-1] = found, end
+                    for k, (start, length) in enumerate(cut(ids, capacity)):
+                        out.append((None if pd.isna(docs[i]) else int(docs[i]), keys[i], row + i, k, start, length, zlib.crc32(ids[start : start + length])))
+            row += len(b)
+            yield pd.DataFrame(out, columns=["doc_id", "_key", "_row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -203,7 +198,7 @@ def _placer(plan):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: tuple | None = None, end: int = 0, rows_each: int = 256) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end: int = 0, rows_each: int = 256) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
@@ -214,7 +209,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: tuple | None = None,
     plan = spark.sparkContext.broadcast((rows, rows[:, 0] * (1 << 44) + rows[:, 1]))
 
     subs = F.lit([max(1, -(-histogram.get(n, 0) // rows_each)) for n in range(capacity + 1)])
-    where = F.pmod(F.xxhash64("doc_id", "_key", "piece"), F.get(subs, F.col("length").cast("int")).cast("long"))
+    where = F.pmod(F.xxhash64("doc_id", "_key", "_row", "piece"), F.get(subs, F.col("length").cast("int")).cast("long"))
     blocked = pieces.withColumn("_sub", where)
     before = Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
@@ -222,7 +217,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: tuple | None = None,
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("length", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
-    place = Window.partitionBy("length", "_sub").orderBy(F.col("doc_id").asc_nulls_last(), "_key", "piece")
+    place = Window.partitionBy("length", "_sub").orderBy(F.col("doc_id").asc_nulls_last(), "_key", "_row", "piece")
     ranked = blocked.join(bases, ["length", "_sub"]).withColumn("_rank", F.col("_base") + F.row_number().over(place) - 1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*names, "_rank").mapInPandas(
