@@ -20,6 +20,30 @@ def test_rules(spark):
     assert (got[0]["host"], got[0]["path"], got[6]["host"], got[8]["host"], got[8]["path"]) == ("blog.example.org", "/es/1", "", "a.net", "")
 
 
+def test_a_hundred_thousand_rules(spark):
+    rng = random.Random(3)
+    hosts = [f"h{i}.{tld}" for i in range(400) for tld in ("org", "com")] + ["org", "com"]
+    rules = list({(rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(12))), rng.choice(["allow", "block"])) for _ in range(180_000)})
+    assert len(rules) >= 100_000
+    urls = [f"http://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(15))) for _ in range(300)]
+    got = judged(spark, [(i, u, None) for i, u in enumerate(urls)], rules)
+    by_host = {}
+    for k, (h, p, a) in enumerate(url_filter.ranked(rules)):
+        by_host.setdefault(h, []).append((k, p, h + p, a))
+    for i, u in enumerate(urls):
+        host, path = u[7:].split("/", 1)
+        labels = host.split(".")
+        fits = [r for n in range(len(labels)) for r in by_host.get(".".join(labels[n:]), []) if ("/" + path).startswith(r[1])]
+        best = max(fits, default=(0, "", None, "allow"))
+        assert (got[i]["rule"], got[i]["verdict"]) == (best[2], best[3])
+
+
+def test_rules_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST", 0)
+    test_rules(spark)
+    assert judged(spark, [(1, "http://a.org/", None)], [])[1]["verdict"] == "allow"
+
+
 def test_aliases_take_the_decision(spark):
     rows = [
         (1, "http://a.net/1#top", '<LINK href="http://b.net/x?a=1&amp;b=2" REL=canonical>'),

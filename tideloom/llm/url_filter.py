@@ -5,6 +5,10 @@ rule take the decision of their aliases: pages joined by canonical links and met
 (distributed, see ``components``), and a component with a blocked member blocks its members without a rule of their
 own, unless one of its members is explicitly allowed.  Urls that only appear as targets count as members too.
 
+Rules are a table: a url's host gives the suffixes that rules can name, each suffix the lengths of paths that its rules
+have, and (suffix, path of that length) is looked up by an equi-join, so work doesn't grow with the number of rules.  The
+rule table is broadcast up to ``BROADCAST`` bytes and joined by key beyond that.
+
 Urls are compared without their fragment, scheme and host in lower case.  Links inside comments, scripts and styles
 don't count; relative links are resolved against the page.
 
@@ -27,6 +31,8 @@ from .components import connected_components
 
 #: (host, path, action)
 Rule = tuple[str, str, str]
+#: Bytes of rules that may be broadcast.
+BROADCAST = 32 << 20
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<(link|meta)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
@@ -53,20 +59,29 @@ def node_of(url: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, UPPER, UPPER.lower()), tail))
 
 
-def rule_index(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Place (from 1) of the rule that decides in ``ranked(rules)``; null if none fits."""
-    fits = [
-        F.when(((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)), F.lit(k))
-        for k, (h, p, _) in enumerate(ranked(rules), 1)
-    ]
-    return F.greatest(*fits, F.lit(None).cast("int"), F.lit(None).cast("int"))
-
-
 def ranked(rules: list[Rule]) -> list[Rule]:
     """Shorter rules first; of one length, allow after block, so that it prevails."""
     return sorted(rules, key=lambda r: (len(r[0] + r[1]), r[2] == "allow", r))
 
 
+def decided(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` (with host and path) and the ``rule`` that decides and its ``action``; null where none fits."""
+    if not rules:
+        return df.withColumns({"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
+    rows = [(h, p, k, h + p, action) for k, (h, p, action) in enumerate(ranked(rules))]
+    table = df.sparkSession.createDataFrame(rows, "_h string, _p string, _rank int, rule string, action string")
+    small = sum(len(h) + len(p) + 100 for h, p, _ in rules) <= BROADCAST
+    sent = F.broadcast if small else (lambda t: t)
+    labels = max(h.count(".") + 1 for h, _, _ in rules)  # longer suffixes are no rule's host
+    parts = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda i: F.array_join(F.slice(parts, -i, i), "."))
+    lengths = table.groupBy("_h").agg(F.collect_set(F.char_length("_p")).alias("_ns"))
+    found = df.select("host", "path").distinct().withColumn("_h", F.explode(tails)).join(sent(lengths), "_h")
+    found = found.withColumn("_n", F.explode("_ns")).where(F.col("_n") <= F.char_length("path")).withColumn("_p", F.expr("substring(path, 1, _n)"))
+    found = found.join(sent(table), ["_h", "_p"]).groupBy("host", "path").agg(F.max(F.struct("_rank", "rule", "action")).alias("_best"))
+    return df.join(found, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "action": F.col("_best.action")}).drop("_best")
+
+
 def links_in(url: str, html: str) -> list[str]:
     """Targets of a page's canonical links and meta redirects, resolved."""
     out = []
@@ -101,26 +116,16 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict."""
-    order = ranked(rules)
-    names, actions = (F.array(*[F.lit(x) for x in xs]) for xs in ([h + p for h, p, _ in order], [a for _, _, a in order]))
-
-    def decided(df: DataFrame, url: str) -> DataFrame:
-        own = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        return own.withColumn("_k", rule_index(F.col("host"), F.col("path"), rules))
-
+    placed = lambda df, url: df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     aliases = connected_components(alias_edges(pages))
-    members = decided(aliases, "node").withColumn("_action", F.get(actions, F.col("_k") - 1))
+    members = decided(placed(aliases, "node"), rules)
     standing = members.groupBy("component").agg(
-        F.coalesce(F.bool_or(F.col("_action") == "block"), F.lit(False)).alias("_blocked"),
-        F.coalesce(F.bool_or(F.col("_action") == "allow"), F.lit(False)).alias("_allowed"),
+        F.coalesce(F.bool_or(F.col("action") == "block"), F.lit(False)).alias("_blocked"),
+        F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False)).alias("_allowed"),
     )
     blocked = aliases.join(standing.where(F.col("_blocked") & ~F.col("_allowed")), "component").select(F.col("node").alias("_alias"))
     blocked = durable(blocked, "blocked-aliases")
-    judged = decided(pages.select("page_id", "url"), "url").withColumn("_node", node_of(F.col("url")))
-    return judged.join(blocked, F.col("_node") == F.col("_alias"), "left").select(
-        "page_id",
-        "host",
-        "path",
-        F.get(names, F.col("_k") - 1).alias("rule"),
-        F.coalesce(F.get(actions, F.col("_k") - 1), F.when(F.col("_alias").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-    )
+    own = placed(pages.select("page_id", "url"), "url").withColumn("_node", node_of(F.col("url"))).drop("url")
+    judged = decided(own, rules).join(blocked, F.col("_node") == F.col("_alias"), "left")
+    verdict = F.coalesce("action", F.when(F.col("_alias").isNotNull(), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
