@@ -3,9 +3,10 @@
 Line hashes are range-partitioned and sorted by (hash, document, position); a running window streams the first
 holder of each hash past its later lines.  What comes back is a compressed keep bitmap per document, never text.
 
-A hash so frequent that it would burden one range is found exactly beforehand: counts of 65,536 hash slices (a
-partial aggregate) name the slices that can hold one, and only these slices are counted by hash.  At most
-``4 x partitions`` hashes can pass, so their owners are broadcast and their lines never enter the ranges.
+A hash so frequent that it would burden one range is found exactly beforehand: counts of hash slices (a partial
+aggregate) name the slices that can hold one, and only these slices are counted by hash.  A hash counts as frequent
+from total / (4 x ranges) lines on, and from total / ``FREQUENT`` on at the most, so at most ``FREQUENT`` hashes can pass,
+whatever the corpus; their owners are broadcast and their lines never enter the ranges.
 
 Defined cases: a null text is one empty line; a null ``doc_id`` orders after all others and all null ids are one
 document; rows that repeat a doc_id are one document, each row keeps its own output row; a key found only within one
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import SPACES, ascii_lower, durable, partitions_for, text_key
 
-SLICES = 1 << 16
+#: Frequent hashes at most (32 bytes each go out), and slices per frequent hash: a slice that is full holds many times its share.
+FREQUENT, SLICES = 1 << 18, 16
 
 
 def split_lines(text: Column) -> Column:
@@ -41,13 +43,14 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _frequent(lines: DataFrame, least: int) -> DataFrame:
-    """Hashes on at least ``least`` lines, with their smallest document: no more than lines / least rows."""
-    slot = F.pmod(F.col("_h1"), F.lit(SLICES))
-    full = lines.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    slots = [r["_slot"] for r in full.select("_slot").collect()]
+def _frequent(lines: DataFrame, least: int, most: int) -> DataFrame:
+    """Hashes on at least ``least`` lines, with their smallest document: at most ``most``, as there are no more than ``most x least`` lines."""
+    slices = max(1 << 16, SLICES * most)
+    slot = F.pmod(F.col("_h1"), F.lit(slices))
+    full = lines.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_slot")
     return (
-        lines.where(slot.isin(slots) if slots else F.lit(False))
+        lines.withColumn("_slot", slot)
+        .join(F.broadcast(full), "_slot", "left_semi")
         .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_owner"))
         .where(F.col("_n") >= least)
@@ -64,7 +67,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     lines = durable(line_hashes(docs, min_chars), "line-hashes")
     total = lines.count()
     parts = partitions_for(spark, total, 1_000_000)
-    hot = F.broadcast(durable(_frequent(lines, max(64, -(-total // (4 * parts)))), "frequent-lines"))
+    most = min(4 * parts, FREQUENT)
+    hot = F.broadcast(durable(_frequent(lines, max(64, -(-total // most)), most), "frequent-lines"))
 
     first = Window.partitionBy("_h1", "_h2").orderBy(F.col("_doc").asc_nulls_last(), F.col("_pos").asc())
     ranged = (
