@@ -1,7 +1,10 @@
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -75,17 +78,46 @@ def test_plan_places_every_piece(histogram):
     assert len(fill) <= 1.5 * least + 1
 
 
-def test_batches_give_the_ids_of_single_texts():
-    rng = np.random.default_rng(5)
-    texts = ["It's 12,000 – naïve…  \n\n\t x", "日本語テキスト \U0001f600", "<|endoftext|>", "a" * 5000, " " * 3000 + "x", "é \u200b\u3000 ½ Ⅷ ١٢", ""]
-    texts += ["".join(map(chr, rng.integers(1, 0xD7FF, int(rng.integers(1, 60))))) for _ in range(500)]
-    slow = Tokenizer.from_file(packing.default_vocabulary())
-    assert packing.encoder(packing.default_vocabulary())(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+@pytest.fixture(scope="module")
+def both():
+    path = packing.default_vocabulary()
+    return packing.Encoder(path), Tokenizer.from_file(path)
 
 
-def test_runs_hold_every_text_once():
-    texts = ["x" * n for n in (0, 5, 90, 3, 3, 200, 1)]
-    for limit in (1, 10, 100, 1000):
-        spans = list(packing._runs(texts, limit))
-        assert [i for a, b in spans for i in range(a, b)] == list(range(len(texts))) and all(b > a for a, b in spans)
-    assert list(packing._runs([])) == []
+def test_ids_of_pieces_are_those_of_whole_texts(both, sf_dir):
+    import pyarrow.parquet as pq
+
+    own, slow = both
+    assert own.by_pieces
+    rng = np.random.default_rng(5)
+    texts = ["It's 12,000 – naïve…  \n\n\t x", "日本語テキスト \U0001f600", "<|endoftext|> in a text", "a" * 5000, " " * 3000 + "x", "é \u200b\u3000 ½ Ⅷ ١٢", "", "''s '' 's!'s", "\x1c\x1d\x85\xa0 x"]
+    texts += ["".join(chr(c) for c in rng.integers(1, 0x30000, int(rng.integers(1, 60))) if not 0xD800 <= c < 0xE000) for _ in range(3000)]
+    texts += [t or "" for t in pq.read_table(sf_dir + "/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for text in texts:
+        assert own(text) == packing._packed(slow.encode(text, add_special_tokens=False).ids), repr(text[:80])
+
+
+def test_every_known_code_point_is_split_alike(both):
+    """All assigned code points among letters, digits, marks and spaces; the others go through the whole-text way."""
+    own, slow = both
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    for at in range(0, len(known), 512):
+        text = "\n".join(f"a{c}b {c}1{c}{c}  {c}" for c in known[at : at + 512])
+        assert [m.span() for m in regex.finditer(packing.SPLIT, text)] == [span for _, span in slow.pre_tokenizer.pre_tokenize_str(text)], hex(ord(known[at]))
+    unknown = re.compile(packing.unknown_code_points())
+    assert not unknown.search("".join(c for c in known if c < "\U00010000")) and all(unknown.match(chr(c)) for c in (0x378, 0x88F, 0x1DF90, 0x3D000, 0x10FFFF))
+
+
+def test_few_pieces_are_remembered(both, monkeypatch):
+    own, slow = both
+    monkeypatch.setattr(packing, "PIECES_HELD", 3)
+    own._pieces.clear()
+    text = "one two three four five six " + "x" * 100
+    assert own(text) == packing._packed(slow.encode(text, add_special_tokens=False).ids) and len(own._pieces) <= 3
+
+
+def test_files_of_another_kind_go_whole():
+    kind = lambda **more: {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {}} | more
+    assert packing.splits_alike(kind())
+    for other in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"model": {"dropout": 0.1}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        assert not packing.splits_alike(kind(**other))

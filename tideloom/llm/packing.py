@@ -13,7 +13,11 @@ corpus.  A piece's block comes from its document and from the number its row got
 are alike spread too.  Triples of lengths are enumerated around ``thirds`` quantiles of the lengths only, a bound on the
 plan's work: pieces that no pattern takes are packed best fit, so every piece is placed.
 
-Token ids are those of the ``tokenizers`` file, a batch of texts at a time.
+Token ids come from ``tokenizers``.  A byte-level vocabulary splits a text into pieces by a fixed pattern and gives each
+piece its ids on its own, so texts are split by that pattern here and the model of ``tokenizers`` is asked for each distinct
+piece (a worker remembers half a million).
+Texts that hold a special token's string, or a code point that the splitter's Unicode tables may class otherwise (one that
+Python's tables don't know, or beyond the basic plane), go through ``tokenizers`` as a whole, as do all texts with a vocabulary of another kind.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed row by row; an empty
 table gives no rows; other columns are not read.
@@ -21,12 +25,16 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +43,82 @@ from pyspark.sql.window import Window
 from .common import durable, text_key
 
 PIECES = "doc_id long, _key long, _row long, piece int, start long, length long, ids_crc32 long"
+# fixed value: how byte-level vocabularies of this kind split a text
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that a worker remembers, and characters of the longest of them.
+PIECES_HELD, PIECE_CHARS = 1 << 19, 64
 _encoders: dict = {}
 
 
+def splits_alike(file: dict) -> bool:
+    """Whether a ``tokenizers`` file splits by SPLIT and encodes pieces on their own, by what it declares."""
+    before = file.get("pre_tokenizer") or {}
+    whole = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return whole and not file.get("normalizer") and not file.get("post_processor") and not file["model"].get("dropout")
+
+
+def unknown_code_points() -> str:
+    """A character class of what Python's Unicode tables don't assign, and of everything beyond the basic plane."""
+    edges, inside = [], False
+    for c in range(0x110000):
+        new = c > 0xFFFF or unicodedata.category(chr(c)) == "Cn"
+        if new != inside:
+            edges.append(c)
+            inside = new
+    edges += [0x110000] * (len(edges) % 2)
+    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; asks the vocabulary's model for new ones."""
+
+    def __init__(self, model):
+        self._model, self._letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8").decode("latin-1").translate(self._letters)
+        ids = _packed([t.id for t in self._model.tokenize(letters)])
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECES_HELD:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file."""
+    """Ids of whole texts by a ``tokenizers`` file, as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self._of = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        self._of, file = Tokenizer.from_str(text), json.loads(text)
+        self.by_pieces = splits_alike(file)
+        self._pieces, self._split = _Pieces(self._of.model), regex.compile(SPLIT).findall
+        special = [re.escape(t["content"]) for t in file.get("added_tokens", [])]
+        self._hard = re.compile("|".join([*special, unknown_code_points()])).search
+        self._special = re.compile("|".join(special) or r"(?!)").search
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._of.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return _packed(self._of.encode(text, add_special_tokens=False).ids)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_pieces or (self._special if text.isascii() else self._hard)(text):
+            return self.whole(text)
+        return b"".join(map(self._pieces.__getitem__, self._split(text)))
 
 
 def encoder(path: str) -> Encoder:
@@ -64,18 +134,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _runs(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Spans of texts of about ``limit`` characters together; a longer text is a span of its own."""
-    low = size = 0
-    for i, text in enumerate(texts):
-        if i > low and size + len(text) > limit:
-            yield low, i
-            low, size = i, 0
-        size += len(text)
-    if texts:
-        yield low, len(texts)
-
-
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, what is left over first."""
     first = len(ids) % capacity or capacity
@@ -87,14 +145,11 @@ def _tokenise(vocabulary: str, capacity: int, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, row = encoder(vocabulary), TaskContext.get().partitionId() << 36
         for b in batches:
-            texts, docs, keys, out = [t or "" for t in b["text"]], b["doc_id"].tolist(), b["_key"].tolist(), []
-            for low, high in _runs(texts):
-                for i, found in enumerate(encode(texts[low:high]), low):
-                    ids = np.empty(len(found) + 1, dtype="<u4")
-                    ids[:-1], ids[-1] = found, end
-                    for k, (start, length) in enumerate(cut(ids, capacity)):
-                        out.append((None if pd.isna(docs[i]) else int(docs[i]), keys[i], row + i, k, start, length, zlib.crc32(ids[start : start + length])))
-            row += len(b)
+            out = []
+            for doc, key, text in zip(b["doc_id"], b["_key"], b["text"]):
+                ids, row = np.frombuffer((encode(text) if text else b"") + _packed([end]), dtype="<u4"), row + 1
+                for k, (start, length) in enumerate(cut(ids, capacity)):
+                    out.append((None if pd.isna(doc) else int(doc), key, row, k, start, length, zlib.crc32(ids[start : start + length])))
             yield pd.DataFrame(out, columns=["doc_id", "_key", "_row", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return run
