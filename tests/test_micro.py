@@ -190,43 +190,105 @@ def test_pipeline_from_request():
         {"preprocessors": [{"name": "PolynomialFeatures", "hyperparameters": {"degree": 3}}, {"name": "StandardScaler"}], "learner": {"name": "ORR", "hyperparameters": {"lambda": 1}}, "protocol": "Synchronous"}
     )
     assert made.width(2) == 18 and made.config.batch == 256 and made.config.protocol == "Synchronous" and made.learner.ridge == 1.0
-    for bad in ({"learner": {"name": "Tree"}}, {"learner": {"name": "PA", "hyperparameters": {"C": "x"}}}, {"learner": {"name": "PA"}, "training_configuration": {"mini_batch_size": 0}}):
+    pa_with = lambda **more: {"learner": {"name": "PA"} | more}
+    for bad in (
+        {"learner": {"name": "Tree"}}, pa_with(hyperparameters={"C": "x"}), pa_with(hyperparameters={"epsilon": 1}), pa_with(hyperparameters={"C": 0}),
+        pa_with(parameters={"a": [1.0]}), pa_with() | {"training_configuration": {"mini_batch_size": 0}}, pa_with() | {"preprocessors": [{"name": "PolynomialFeatures", "hyperparameters": {"power": 2}}]},
+        pa_with() | {"preprocessors": [{"name": "StandardScaler", "parameters": {"mean": [1.0]}}]}, {"learner": {"name": "ORR", "parameters": {"a": [[1.0, 0.0]], "b": [1.0]}}},
+    ):
         with pytest.raises(pl.ConfigError):
             pl.Pipeline.from_request(bad)
 
 
-class Greeter:
-    def __init__(self):
-        self.greeted = 0
-
-    @pl.remote_op(1)
-    def greet(self, whom):
-        self.greeted += 1
-
-    @pl.remote_op(2)
-    def name(self):
-        return "Ada"
-
-
-def test_nodes_dispatch_and_reply():
-    assert pl.operations(Greeter) == {1: "greet", 2: "name"}
-    target = Greeter()
-    node = pl.Node(target)
-    assert node.receive(1, "you") is None and target.greeted == 1 and node.receive(2) == (pl.REPLY, "Ada")
-
-    class Network:
-        def send(self, to, number, args):
-            return to.receive(number, *args)
-
-    heard = []
-    pl.Proxy(Network(), node, Greeter).name().then(heard.append)
-    assert heard == ["Ada"]
-    with pytest.raises(pl.ConfigError):
-        node.receive(9)
-
-
 def test_scaler_carries_on(spark):
     df = spark.createDataFrame([([1.0],), ([3.0],)], "x array<double>")
     scaler = pl.StandardScaler(start={"n": 1, "mean": [5.0], "variance": [0.0]})
     scaler.transform(df)
     assert scaler.state["n"] == 3 and scaler.state["mean"] == pytest.approx([3.0]) and scaler.state["variance"] == pytest.approx([8 / 3])
+
+
+def test_frozen_scaler_without_a_start_changes_nothing(spark):
+    df = spark.createDataFrame([([1.0],), ([3.0],)], "x array<double>")
+    scaler = pl.StandardScaler(learn=False)
+    assert [r["x"] for r in scaler.transform(df).collect()] == [[1.0], [3.0]] and scaler.state is None
+    scaler.enable()
+    scaler.transform(df)
+    scaler.freeze()
+    assert scaler.state["n"] == 2 and not scaler.learn
+
+
+def test_warm_starts(spark):
+    df = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([([2.0, 0.0], 0.0)])], "k int, i long, x array<double>, y double")
+    start = {"name": "PA", "hyperparameters": {"C": 0.01}, "parameters": {"a": [1 / 56, 2 / 56], "b": 1 / 56}}
+    out = pl.Pipeline.from_request({"learner": start}).fit(df, ["k"], "i", 2).first()
+    assert out["w"] == pytest.approx([-63 / 3080, 110 / 3080]) and out["b"] == pytest.approx(-4 / 3080)
+    ridge = {"name": "ORR", "parameters": {"A": [[1.0, 1.0], [1.0, 1.0]], "b": [2.0, 2.0]}}
+    point = spark.createDataFrame([(1, 0, [2.0], 4.0)], "k int, i long, x array<double>, y double")
+    out = pl.Pipeline.from_request({"learner": ridge}).fit(point, ["k"], "i", 1).first()
+    assert 3 * out["w"][0] + out["b"] == pytest.approx(6)
+
+
+def test_pipelines_clear_and_merge():
+    one = pl.Pipeline.from_request({"learner": {"name": "PA"}, "preprocessors": [{"name": "StandardScaler"}]})
+    one.preprocessors[0].state, one.fitted = {"n": 2, "mean": [0.0], "variance": [1.0]}, 7
+    two = pl.Pipeline.from_request({"learner": {"name": "ORR"}})
+    two.fitted = 5
+    assert one.clear().fitted == 0 and one.preprocessors[0].state is None
+    one.fitted = 7
+    assert one.merge(two).fitted == 12 and one.learner.name == "ORR" and one.preprocessors == []
+    assert one.remove_learner().learner is None and one.add_learner(two.learner).learner is two.learner
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from(["PA", "regressorPA"]), st.integers(1, 6))
+def test_segments_fold_like_single_points(seed, kind, n_keys):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 12, n_keys)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    x, y = rng.normal(size=(lengths.sum(), 3)), rng.choice([-1.0, 1.0], lengths.sum())
+    w = rng.normal(size=(n_keys, 4))
+    got = learners.fold_segments(kind, x, y, starts, w, 0.01, 0.1)
+    for k in range(n_keys):
+        v, b = w[k, :3], w[k, 3]
+        for i in range(starts[k], starts[k] + lengths[k]):
+            v, b = learners._step(kind, x[i], y[i], v, b, 0.01, 0.1)
+        assert got[k] == pytest.approx([*v, b])
+
+
+def test_fit_across_arrow_batches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), i, rng.normal(size=2 + (k == 3)).tolist(), float(rng.choice([-1, 0, 1, 5]))) for i, k in enumerate(np.sort(rng.integers(0, 6, 400)))]
+    rows += [(7, 1000, None, 1.0), (7, 1001, [1.0], None), (8, 1002, [1.0], 1.0), (8, 1003, [1.0, 2.0], 1.0)]
+    df = spark.createDataFrame(rows, "k int, i long, x array<double>, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {r["k"]: r for r in learners.fit_in_order(df, ["k"], "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in {r[0] for r in rows}:
+        w, n = None, 0
+        for _, _, x, y in (r for r in rows if r[0] == k):
+            target = learners._normal("PA", y)
+            if x is None or target is None:
+                continue
+            w = np.zeros(len(x) + 1) if w is None else w
+            if len(x) == len(w) - 1:
+                v, b = learners._step("PA", np.array(x), target, w[:-1], w[-1], 0.01, 0.0)
+                w, n = np.append(v, b), n + 1
+        assert got[k]["fitted"] == n and [*got[k]["w"], got[k]["b"]] == pytest.approx([0.0] if w is None else w.tolist())
+
+
+def test_buffers(spark):
+    df = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(3 + b)], "b int, i long").withColumn("k", F.lit(0))
+    merged = workers.interleaved(df, ["k"], "b", "i").orderBy("place").collect()
+    assert [(r["b"], r["i"]) for r in merged] == [(1, 0), (2, 0), (1, 1), (2, 1), (1, 2), (2, 2), (1, 3), (2, 3), (2, 4)]
+    for some in (workers.random_out, workers.oldest_out):
+        assert sorted(map(tuple, some(df, ["b"], "i", 2).groupBy("b").count().collect())) == [(1, 2), (2, 2)]
+    kept = workers.reservoir(df.where("b = 2"), "i", 2).where("kept")
+    assert kept.count() == 2 and workers.reservoir(df.limit(0), "i", 2).count() == 0
+
+
+def test_sparse_orders_make_full_blocks(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id * 1000000007 AS o")
+    got = with_position(df, ["k"], "o", block=64).selectExpr("k", "o", "position").collect()
+    assert all(r["position"] == r["o"] // 1000000007 // 2 for r in got)

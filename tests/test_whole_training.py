@@ -1,7 +1,5 @@
 """Training on all records, against brute force."""
 
-import json
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -47,10 +45,10 @@ def expected(rows):
 def test_predictions_use_all_training_records(spark, few_events):
     folder, rows = few_events
     want = expected(rows)
-    got = {(r["event_id"], r["pipeline"]): r["prediction"] for r in catalog.QUERIES["whole_predict_all_pipelines"](spark, folder).collect()}
+    got = {(r["event_id"], r["pipeline"]): r["prediction"] for r in catalog.QUERIES["predict_all_pipelines"](spark, folder).collect()}
     assert got == pytest.approx(want, abs=2e-5)
-    texts = catalog.QUERIES["prediction_json"](spark, folder).collect()
-    assert {(r["id"], r["pipeline"]): json.loads(r["value"])["prediction"] for r in texts} == pytest.approx(want, abs=2e-5)
+    told = catalog.QUERIES["prediction_json"](spark, folder).collect()
+    assert {(r["id"], r["pipeline"]): r["prediction"] for r in told} == pytest.approx(want, abs=2e-5)
 
 
 def test_responses_count_all_training_records(spark, few_events):
@@ -58,7 +56,7 @@ def test_responses_count_all_training_records(spark, few_events):
     want, test = expected(rows), rows[rows["event_id"] % 10 >= 8]
     met = np.mean([want[i, 1] == (y > 0) for i, y in zip(test["event_id"], test["y"])])
     off = np.sqrt(np.mean([(want[i, 2] - v) ** 2 for i, v in zip(test["event_id"], test["value"])]))
-    got = {r["id"]: (r["data_fitted"], r["score"]) for r in catalog.QUERIES["whole_query_response"](spark, folder).collect()}
+    got = {r["id"]: (r["data_fitted"], r["score"]) for r in catalog.QUERIES["query_response"](spark, folder).collect()}
     assert {k: n for k, (n, _) in got.items()} == {1: 2400, 2: 2400}
     assert [got[1][1], got[2][1]] == pytest.approx([met, off], abs=2e-5)
 
@@ -76,10 +74,11 @@ def test_parameter_server_takes_every_round(spark, few_events):
         want |= {(r, k): [*moved[k], len(parts[k])] for k in parts}
         w = w + sum(moved.values()) / 4
     assert rows["round"].max() == 2
-    got = {(r["round"], r["worker"]): [r["d0"], r["d1"], r["d2"], r["fitted"]] for r in catalog.QUERIES["ps_all_deltas"](spark, folder).collect()}
+    got = {(r["round"], r["worker"]): [r["d0"], r["d1"], r["d2"], r["fitted"]] for r in catalog.QUERIES["ps_delta"](spark, folder).collect()}
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=2e-6)
-    last = catalog.QUERIES["ps_all_rounds"](spark, folder).collect()
-    assert [tuple(r)[-1] for r in last] == [len(rows)]
-    assert [last[0][c] for c in ("w0", "w1", "b")] == pytest.approx(w.tolist(), abs=2e-6)
+    for name in ("ps_average", "ps_all_rounds"):
+        last = catalog.QUERIES[name](spark, folder).collect()
+        assert [tuple(r)[-1] for r in last] == [len(rows)]
+        assert [last[0][c] for c in ("w0", "w1", "b")] == pytest.approx(w.tolist(), abs=2e-6)

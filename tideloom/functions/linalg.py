@@ -1,8 +1,9 @@
 """Vectors and matrices as columns: dense arrays, sparse structs, and the level-1/2 operations on them.
 
 A dense vector is ARRAY<DOUBLE>; a sparse one STRUCT<size INT, indices ARRAY<INT>, values ARRAY<DOUBLE>> with rising
-indices; a dense matrix ARRAY<ARRAY<DOUBLE>> by rows; a sparse matrix rows of (i, j, v).  All are built-in
-expressions, evaluated in the JVM.  Operations on vectors of unequal sizes give null.
+indices; a dense matrix ARRAY<ARRAY<DOUBLE>> by rows; a sparse matrix rows of (i, j, v), or in one column
+STRUCT<rows INT, cols INT, entries ARRAY<STRUCT<j INT, i INT, v DOUBLE>>> by columns.  All are built-in expressions,
+evaluated in the JVM.  Operations on vectors of unequal sizes give null.
 """
 
 from __future__ import annotations
@@ -84,6 +85,15 @@ def transpose(matrix) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(F.get(m, F.lit(0))) - 1), lambda j: F.transform(m, lambda row: F.get(row, j)))
 
 
+def dense(*values) -> Column:
+    """A vector of numbers or columns, of whatever numeric type."""
+    return F.array(*[_c(v).cast("double") if isinstance(v, (str, Column)) else F.lit(float(v)) for v in values])
+
+
+def filled(n, value) -> Column:
+    return F.array_repeat(F.lit(float(value)) if not isinstance(value, (str, Column)) else _c(value).cast("double"), n)
+
+
 def zeros(n) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
@@ -111,6 +121,101 @@ def equal(a, b, tolerance: float = 0.0) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda ok: ok)
 
 
+def equal_matrix(a, b, tolerance: float = 0.0) -> Column:
+    a, b = _c(a), _c(b)
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda p, q: equal(p, q, tolerance)), lambda ok: ok)
+
+
+def matrix_at(matrix, i, j) -> Column:
+    """Null outside."""
+    i, j = (F.lit(x) if isinstance(x, int) else _c(x) for x in (i, j))
+    return F.get(F.get(_c(matrix), i), j)
+
+
+def matrix_updated(matrix, i, j, value) -> Column:
+    i, j, value = (F.lit(x) if not isinstance(x, Column) else x for x in (i, j, value))
+    return F.transform(_c(matrix), lambda row, r: F.when(r == i, updated(row, j, value)).otherwise(row))
+
+
+def matrix_filled(rows: int, cols: int, value: float = 0.0) -> Column:
+    return F.array_repeat(F.array_repeat(F.lit(float(value)), cols), rows)
+
+
+def to_ml(v) -> Column:
+    """As a vector of Spark's machine-learning library."""
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(_c(v))
+
+
+def from_ml(v) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(_c(v))
+
+
+def sparse(size, entries) -> Column:
+    """From an array of structs (i, x) in any order: entries of a place add up, zeros are dropped; a place outside is an error."""
+    entries, size = _c(entries), F.lit(size) if isinstance(size, int) else _c(size)
+    inside = F.forall(entries, lambda e: (e["i"] >= 0) & (e["i"] < size))
+    places = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["i"].cast("int"))))
+    summed = F.transform(places, lambda k: F.struct(k.alias("i"), total(F.transform(F.filter(entries, lambda e: e["i"] == k), lambda e: e["x"].cast("double"))).alias("x")))
+    kept = F.filter(summed, lambda p: p["x"] != 0)
+    out = F.struct(size.alias("size"), kept["i"].alias("indices"), kept["x"].alias("values"))
+    return F.when(inside, out).otherwise(F.raise_error(F.lit("index outside vector")).cast("struct<size int, indices array<int>, values array<double>>"))
+
+
+def sparse_updated(s, i, value) -> Column:
+    """Sets a place, whether it was stored or not; outside the size nothing changes."""
+    s, i, value = _c(s), *(F.lit(x) if not isinstance(x, Column) else x for x in (i, value))
+    others = F.filter(F.arrays_zip(s["indices"].alias("i"), s["values"].alias("x")), lambda p: p["i"] != i)
+    placed = F.array_sort(F.concat(others, F.filter(F.array(F.struct(i.cast("int").alias("i"), value.cast("double").alias("x"))), lambda p: (p["x"] != 0) & (i >= 0) & (i < s["size"]))))
+    return F.struct(s["size"].alias("size"), placed["i"].alias("indices"), placed["x"].alias("values"))
+
+
+def sparse_equal(a, b) -> Column:
+    a, b = _c(a), _c(b)
+    return (a["size"] == b["size"]) & (a["indices"] == b["indices"]) & (a["values"] == b["values"])
+
+
+def matrix_to_sparse(matrix) -> Column:
+    """By columns, without zeros."""
+    m = _c(matrix)
+    cells = F.flatten(F.transform(m, lambda row, i: F.transform(row, lambda v, j: F.struct(j.alias("j"), i.alias("i"), v.alias("v")))))
+    entries = F.array_sort(F.filter(cells, lambda e: e["v"] != 0))
+    return F.struct(F.size(m).alias("rows"), F.coalesce(F.size(F.get(m, F.lit(0))), F.lit(0)).alias("cols"), entries.alias("entries"))
+
+
+def matrix_to_dense(s) -> Column:
+    s = _c(s)
+    held = F.map_from_entries(F.transform(s["entries"], lambda e: F.struct((e["i"].cast("long") * s["cols"] + e["j"]).alias("k"), e["v"].alias("v"))))
+    number = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda i, j: F.coalesce(F.try_element_at(held, i.cast("long") * s["cols"] + j), F.lit(0.0))
+    rows = F.transform(number(s["rows"]), lambda i: F.transform(number(s["cols"]), lambda j: cell(i, j)))
+    return F.when((s["rows"] > 0) & (s["cols"] > 0), rows).otherwise(F.array().cast("array<array<double>>"))
+
+
+def sparse_matrix_at(s, i, j) -> Column:
+    """0 where nothing is stored; null outside."""
+    s, i, j = _c(s), *(F.lit(x) if isinstance(x, int) else _c(x) for x in (i, j))
+    found = F.get(F.filter(s["entries"], lambda e: (e["i"] == i) & (e["j"] == j)), F.lit(0))["v"]
+    return F.when((i >= 0) & (i < s["rows"]) & (j >= 0) & (j < s["cols"]), F.coalesce(found, F.lit(0.0)))
+
+
+def sparse_matrix_updated(s, i, j, value) -> Column:
+    s, i, j, value = _c(s), *(F.lit(x) if not isinstance(x, Column) else x for x in (i, j, value))
+    others = F.filter(s["entries"], lambda e: (e["i"] != i) | (e["j"] != j))
+    inside = (i >= 0) & (i < s["rows"]) & (j >= 0) & (j < s["cols"])
+    new = F.filter(F.array(F.struct(j.cast("int").alias("j"), i.cast("int").alias("i"), value.cast("double").alias("v"))), lambda e: (e["v"] != 0) & inside)
+    kept = F.when(inside, others).otherwise(s["entries"])
+    return F.struct(s["rows"].alias("rows"), s["cols"].alias("cols"), F.array_sort(F.concat(kept, new)).alias("entries"))
+
+
+def sparse_matrix_equal(a, b) -> Column:
+    a, b = _c(a), _c(b)
+    return (a["rows"] == b["rows"]) & (a["cols"] == b["cols"]) & (a["entries"] == b["entries"])
+
+
 def to_sparse(v) -> Column:
     v = _c(v)
     places = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)

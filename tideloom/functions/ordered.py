@@ -1,6 +1,7 @@
 """Positions and running sums along an order within keys, without one task per key.
 
-Rows are cut into blocks by ranges of the order column.  Block totals are partial aggregates; totals of earlier blocks
+Rows are cut into blocks by ranges of the order column, as wide as they have to be to hold ``block`` rows on average,
+whether its values are dense (numbers) or sparse (times).  Block totals are partial aggregates; totals of earlier blocks
 are summed over the block table, which is smaller by the rows of a block; only rows of one block share a task.
 """
 
@@ -24,9 +25,12 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Adds, for each name, the sum of its column over the rows of ``keys`` up to and with the current one.
 
-    ``order`` is a number that tells the rows of a key apart; a block spans ``block`` of its values.
+    ``order`` is a number that tells the rows of a key apart.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("long")).withColumns({f"_in_{n}": c for n, c in sums.items()})
+    facts = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    span = max(1.0, (float(facts["high"]) - float(facts["low"]) + 1.0) / facts["n"]) * block if facts["n"] else 1.0
+    low = float(facts["low"]) if facts["n"] else 0.0
+    cut = df.withColumn("_block", F.floor((F.col(order) - F.lit(low)) / F.lit(span)).cast("long")).withColumns({f"_in_{n}": c for n, c in sums.items()})
     here, names = [*keys, "_block"], list(sums)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut.groupBy(*here).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in names])

@@ -63,41 +63,96 @@ def _normal(kind: str, y) -> float | None:
     return float(y)
 
 
-def _folder(kind: str, keys: list[str], c: float, epsilon: float):
+def _normals(kind: str, y: np.ndarray) -> np.ndarray:
+    """Targets as they are learned from; NaN ones are left out."""
+    y = y.astype(float)
+    if kind != "PA":
+        return y
+    return np.where(y == 0, -1.0, np.where(np.abs(y) == 1, y, np.nan))
+
+
+def fold_segments(kind: str, x: np.ndarray, y: np.ndarray, starts: np.ndarray, w: np.ndarray, c: float, epsilon: float) -> np.ndarray:
+    """Weights (intercept last, a row a segment) after each segment's rows in order, a step of all segments at a time."""
+    lengths, w = np.diff(np.append(starts, len(x))), w.copy()
+    order = np.argsort(-lengths, kind="stable")
+    left = -lengths[order]
+    size = (x * x).sum(1) + 1.0 + 1.0 / (2.0 * c)
+    for r in range(int(lengths.max(initial=0))):
+        live = order[: np.searchsorted(left, -r)]
+        i = starts[live] + r
+        xi, yi, wi = x[i], y[i], w[live]
+        m = (wi[:, :-1] * xi).sum(1) + wi[:, -1]
+        if kind == "PA":
+            sign, loss = yi, 1.0 - yi * m
+        else:
+            sign, loss = np.where(yi - m >= 0, 1.0, -1.0), np.abs(yi - m) - epsilon
+        tau = np.maximum(loss, 0.0) / size[i] * sign
+        w[live, :-1] = wi[:, :-1] + tau[:, None] * xi
+        w[live, -1] = wi[:, -1] + tau
+    return w
+
+
+def _folder(kind: str, keys: list[str], c: float, epsilon: float, start: np.ndarray | None = None):
+    """Segments of equal keys follow each other; the last one of a batch may go on in the next."""
+
+    def first(width: int) -> np.ndarray:
+        return np.zeros(width + 1) if start is None else start.copy()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, w, b, n, done = None, None, 0.0, 0, []
+        now, w, n = None, None, 0  # the key that is open, its weights, its points
 
-        def closed():
-            return (*now, [] if w is None else w.tolist(), b, n)
+        def closed(key, w, n):
+            return (*key, [] if w is None else w[:-1].tolist(), 0.0 if w is None else float(w[-1]), n)
 
         for batch in batches:
-            for *key, x, y in batch[[*keys, "x", "y"]].itertuples(index=False, name=None):
-                if now != (key := tuple(key)):
-                    if now is not None:
-                        done.append(closed())
-                    now, w, b, n = key, None, 0.0, 0
-                target = _normal(kind, y)
-                if target is None or x is None:
-                    continue
-                x = np.asarray(x, dtype=np.float64)
-                if w is None:
-                    w = np.zeros(len(x))
-                if len(x) != len(w):
+            if not len(batch):
+                continue
+            rows = list(batch[keys].itertuples(index=False, name=None))
+            target = _normals(kind, batch["y"].to_numpy())
+            widths = np.array([-1 if v is None else len(v) for v in batch["x"]])
+            edge = np.array([0, *[i for i in range(1, len(rows)) if rows[i] != rows[i - 1]]])
+            done, fit = [], (widths >= 0) & ~np.isnan(target)
+            carried = w if rows[0] == now else None
+            if now is not None and rows[0] != now:
+                done.append(closed(now, w, n))
+            counts, ends = [], np.append(edge[1:], len(rows))
+            state: list[np.ndarray | None] = [carried if s == 0 else None for s in range(len(edge))]
+            for s, (lo, hi) in enumerate(zip(edge, ends)):  # a key's first usable point fixes its width
+                own = np.flatnonzero(fit[lo:hi]) + lo
+                if len(own) and state[s] is None:
+                    state[s] = first(widths[own[0]])
+                if state[s] is not None:
+                    fit[lo:hi] &= widths[lo:hi] == len(state[s]) - 1
+                counts.append(int(fit[lo:hi].sum()))
+            for width in {len(v) - 1 for v in state if v is not None}:
+                some = [s for s in range(len(edge)) if counts[s] and state[s] is not None and len(state[s]) == width + 1]
+                if not some:
                     continue
-                w, b = _step(kind, x, target, w, b, c, epsilon)
-                n += 1
-            if len(done) > 1000:
+                taken = np.concatenate([np.flatnonzero(fit[edge[s] : ends[s]]) + edge[s] for s in some])
+                x = np.concatenate([np.asarray(batch["x"].iloc[i], dtype=float) for i in taken]).reshape(len(taken), width)
+                starts = np.concatenate(([0], np.cumsum([counts[s] for s in some])[:-1]))
+                moved = fold_segments(kind, x, target[taken], starts, np.stack([state[s] for s in some]), c, epsilon)
+                for s, v in zip(some, moved):
+                    state[s] = v
+            for s, lo in enumerate(edge):
+                before = n if s == 0 and rows[0] == now else 0
+                if s < len(edge) - 1:
+                    done.append(closed(rows[lo], state[s], before + counts[s]))
+                else:
+                    last = rows[lo], state[s], before + counts[s]
+            now, w, n = last
+            if done:
                 yield pd.DataFrame(done, columns=[*keys, "w", "b", "fitted"])
-                done = []
         if now is not None:
-            done.append(closed())
-        yield pd.DataFrame(done, columns=[*keys, "w", "b", "fitted"])
+            yield pd.DataFrame([closed(now, w, n)], columns=[*keys, "w", "b", "fitted"])
 
     return run
 
 
-def fit_in_order(points: DataFrame, keys: list[str], order: str, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
-    """One model (keys, w, b, fitted) per key from its points (keys, order, x, y), taken in order from zero.
+def fit_in_order(
+    points: DataFrame, keys: list[str], order: str, kind: str = "PA", c: float = C, epsilon: float = EPSILON, start: np.ndarray | None = None
+) -> DataFrame:
+    """One model (keys, w, b, fitted) per key from its points (keys, order, x, y), taken in order from zero, or from ``start``.
 
     kind: PA or regressorPA.  Unlabelled points, other labels and points of another width are left out.
     """
@@ -106,7 +161,7 @@ def fit_in_order(points: DataFrame, keys: list[str], order: str, kind: str = "PA
     schema = T.StructType([rows.schema[k] for k in keys])
     for name, kind_of in (("w", T.ArrayType(T.DoubleType())), ("b", T.DoubleType()), ("fitted", T.LongType())):
         schema = schema.add(name, kind_of)
-    return dealt.mapInPandas(_folder(kind, keys, c, epsilon), schema)
+    return dealt.mapInPandas(_folder(kind, keys, c, epsilon, start), schema)
 
 
 def _next(kind: str, s: Column, r: Column, c: float, epsilon: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideloom.sources.storage import durable
+
 from .learners import accuracy, classify, margin, rmse
 
 #: The reference values that stand for "no prediction" and "no score", for consumers that expect numbers.
@@ -16,20 +18,19 @@ def predicted(kind: Column, x: Column, w: Column, b: Column) -> Column:
     return F.when(kind == "PA", classify(m)).otherwise(m)
 
 
-def predict_all(data: DataFrame, models: DataFrame, sentinel: bool = False) -> DataFrame:
-    """Every record by every registered model (pipeline, kind, w, b).
+def predict_all(data: DataFrame, models: DataFrame, sentinel: bool = False, block: int = 256, largest: int = 64 << 20) -> DataFrame:
+    """Every record by every model (pipeline, kind, w, b).
 
-    The registry is held by the driver by design and goes into the plan as an array, so records stay where they are.
+    Models are computed once, packed into blocks of about ``block`` and joined by block number: broadcast where all of
+    them take ``largest`` bytes at most, and left to the join strategy beyond that.
     """
-    held = models.select("pipeline", "kind", "w", "b").collect()
-    number = lambda v: F.lit(float(v))
-    rows = [
-        F.struct(F.lit(m["pipeline"]).alias("pipeline"), F.lit(m["kind"]).alias("kind"), F.array(*[number(v) for v in m["w"]]).alias("w"), number(m["b"]).alias("b"))
-        for m in held
-    ]
-    if not rows:
-        return data.where(F.lit(False)).withColumns({"pipeline": F.lit(0), "prediction": F.lit(0.0)})
-    each = data.withColumn("_m", F.explode(F.array(*rows)))
+    held = durable(models.select("pipeline", "kind", "w", "b"), "models")
+    facts = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("w") + 4).alias("numbers")).first()
+    blocks = max(1, -(-facts["n"] // block))
+    packed = held.groupBy(F.pmod(F.xxhash64("pipeline"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("pipeline", "kind", "w", "b")).alias("_ms"))
+    packed = F.broadcast(packed) if 8 * (facts["numbers"] or 0) <= largest else packed
+    each = data.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "_block")
+    each = each.withColumn("_m", F.explode("_ms")).drop("_block", "_ms")
     out = predicted(F.col("_m.kind"), F.col("x"), F.col("_m.w"), F.col("_m.b"))
     out = F.coalesce(out, F.lit(NO_PREDICTION)) if sentinel else out
     return each.withColumns({"pipeline": F.col("_m.pipeline"), "prediction": out}).drop("_m")

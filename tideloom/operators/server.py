@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tideloom.functions.linalg import gathered
 from tideloom.functions.params import flatten, linear, unflatten
+from tideloom.sources.storage import discard, durable
 
 from .learners import C, EPSILON, _step, fold_batch, label
 
@@ -52,14 +53,14 @@ def averaged(delta: DataFrame, models: DataFrame | None, keys: list[str], worker
 def train_rounds(points: DataFrame, keys: list[str], order: str, width: int, workers: int, n_rounds: int, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
     """Synchronous training: every round all workers start from the same global models.
 
-    Models are checkpointed after each round, so lineage doesn't grow with the rounds.
+    Mini-batches and the models of each round are written to the shared folder, so nothing is computed twice and lineage
+    doesn't grow with the rounds.
     """
-    mini, models = batches(points, keys, order, kind), None
+    mini, models, last = durable(batches(points, keys, order, kind), "mini-batches"), None, None
     for r in range(n_rounds):
         delta = deltas(mini.where(F.col("round") == r), models, keys, width, kind, c, epsilon)
-        models = averaged(delta, models, keys, workers)
-        if r + 1 < n_rounds and points.sparkSession.conf.get("spark.checkpoint.dir", None):
-            models = models.checkpoint()
+        models, last = durable(averaged(delta, models, keys, workers), "round"), models
+        discard(last)
     return models
 
 

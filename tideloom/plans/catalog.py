@@ -18,6 +18,7 @@ from tideloom.functions.ordered import with_position
 from tideloom.operators import control, learners, preprocess, serve, server, workers
 from tideloom.plans.pipeline import Pipeline
 from tideloom.sources import records
+from tideloom.sources.storage import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,6 +162,33 @@ def record_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(i.alias("id"), records.record_valid(rec).alias("valid"))
 
 
+@query(f"""WITH {EREC} SELECT id, id % 13 <> 0 AND id % 11 <> 0 AS valid, 'trainingData' AS topic, (id % 36)::INT AS partition, id + 5 AS key, id * 2 AS position, 1700000000000 + id AS at,
+       CASE WHEN id % 13 <> 0 AND id % 11 <> 0 THEN round(x0, 6) END AS x0 FROM r""")
+def deserialize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a topic as bytes, with its metadata: records that are cut or of no known operation are null."""
+    i = F.col("id")
+    text = F.when(i % 13 == 0, F.substring("value", 1, 12)).when(i % 11 == 0, F.regexp_replace("value", "training|forecasting", "resting")).otherwise(F.col("value"))
+    sent = e_texts(spark, sf_dir).select(
+        "id", text.cast("binary").alias("value"), F.lit("trainingData").alias("topic"), (i % 36).cast("int").alias("partition"),
+        F.unhex(F.lpad(F.hex(i + 5), 16, "0")).alias("key"), (i * 2).alias("offset"), F.timestamp_millis(F.lit(1700000000000) + i).alias("timestamp"),
+    )
+    got = records.deserialized(sent)
+    return got.select(
+        "id", F.col("record").isNotNull().alias("valid"), "metadata.topic", "metadata.partition", "metadata.key", F.col("metadata.offset").alias("position"),
+        F.col("metadata.timestamp").alias("at"), r6(F.get("record.numericFeatures", F.lit(0))).alias("x0"),
+    )
+
+
+@query(f"""WITH {EREC} SELECT id, (id % 5)::INT AS pipeline, round(x0, 6) AS prediction, operation FROM r""")
+def serialize_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as the bytes of messages, read back."""
+    made = e_records(spark, sf_dir).select(
+        records.as_bytes((F.col("id") % 5).cast("int").alias("mlPipeline"), F.struct(*records.RECORD.names).alias("dataPoint"), F.get("numericFeatures", F.lit(0)).alias("prediction")).alias("value")
+    )
+    back = made.select(F.from_json(F.col("value").cast("string"), records.PREDICTION).alias("p"))
+    return back.select(F.col("p.dataPoint.id").alias("id"), F.col("p.mlPipeline").alias("pipeline"), r6(F.col("p.prediction")).alias("prediction"), "p.dataPoint.operation")
+
+
 _CONFIGS = ["{}", '{"protocol": "Asynchronous"}', '{"protocol": "Gossip"}', '{"mini_batch_size": 64}', '{"mini_batch_size": 0}', '{"mini_batch_size": "x"}', '{"mini_batch_size": 2.0}']
 
 
@@ -341,6 +369,19 @@ def buffer_oldest_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workers.oldest_out(_assigned(spark, sf_dir).select("event_id", "worker"), ["worker"], "event_id", 300)
 
 
+@query(f"""WITH {_W}, n AS (SELECT event_id, worker, row_number() OVER (PARTITION BY worker ORDER BY (event_id % 2147483648 * 1103515245 + 12345) % 2147483648 DESC) AS k FROM a)
+SELECT event_id, worker FROM n WHERE k <= 300""")
+def buffer_random_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workers.random_out(_assigned(spark, sf_dir).select("event_id", "worker"), ["worker"], "event_id", 300)
+
+
+@query(f"""WITH {_W}, n AS (SELECT event_id, user_id, worker, row_number() OVER (PARTITION BY user_id, worker ORDER BY event_id) AS k FROM a)
+SELECT event_id, user_id, worker, row_number() OVER (PARTITION BY user_id ORDER BY k, worker) - 1 AS place FROM n""")
+def buffers_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workers' buffers of each user, merged turn by turn."""
+    return workers.interleaved(_assigned(spark, sf_dir).select("event_id", "user_id", "worker"), ["user_id"], "worker", "event_id")
+
+
 # --- learners ---------------------------------------------------------------------------------------------------
 
 
@@ -460,61 +501,90 @@ def ridge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(models, "l_returnflag").groupBy("l_returnflag").agg(F.round(learners.rmse(F.col("l_extendedprice"), m), 3).alias("score"))
 
 
+_START = {"name": "PA", "hyperparameters": {"C": 0.01}, "parameters": {"a": [0.5, -0.25], "b": 0.125}}
+
+
+@query(f"""WITH {_TRAIN}, ls AS (SELECT user_id, count(*)::BIGINT AS fitted, list({{x: [x0, x1, 1], y: y::DOUBLE, w: []::DOUBLE[]}} ORDER BY event_id) AS ps FROM tr GROUP BY user_id),
+m AS (SELECT user_id, fitted, list_reduce(list_prepend({{x: []::DOUBLE[], y: 0::DOUBLE, w: [0.5::DOUBLE, -0.25, 0.125]}}, ps), lambda s, p: list_transform(
+  [greatest(1 - p.y * list_dot_product(s.w, p.x), 0) / (list_dot_product(p.x, p.x) + 50) * p.y],
+  lambda t: {{x: p.x, y: p.y, w: list_transform(s.w, lambda v, i: v + t * p.x[i])}})[1]).w AS w FROM ls)
+SELECT user_id, round(w[1], 6) + 0.0::DOUBLE AS w0, round(w[2], 6) + 0.0::DOUBLE AS w1, round(w[3], 6) + 0.0::DOUBLE AS b, fitted FROM m""")
+def pa_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline whose request gives weights and intercept to go on from."""
+    training = e_points(spark, sf_dir).where("operation = 'training'")
+    return _weights(Pipeline.from_request({"learner": _START}).fit(training, ["user_id"], "event_id", 2))
+
+
+@query("""WITH s AS (SELECT l_returnflag, sum(l_quantity * l_quantity) + 500 AS a, sum(l_quantity) AS b, count(*) + 500 AS d, sum(l_quantity * l_extendedprice) AS p,
+       sum(l_extendedprice) AS q FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, round((p * d - q * b) / (a * d - b * b), 3) AS w, round((q * a - p * b) / (a * d - b * b), 2) AS b FROM s""")
+def ridge_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge with lambda 500, as a request names it."""
+    points = lineitem(spark, sf_dir).select("l_returnflag", F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    out = Pipeline.from_request({"learner": {"name": "ORR", "hyperparameters": {"lambda": 500}}}).fit(points, ["l_returnflag"], "y", 1)
+    return out.select("l_returnflag", F.round(la.at("w", 0), 3).alias("w"), F.round("b", 2).alias("b"))
+
+
 # --- parameter server -------------------------------------------------------------------------------------------
 
 
 def _round_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records with worker and round, at the production batch."""
     training = workers.holdout(_assigned(spark, sf_dir), "event_id").where("NOT held")
-    return workers.rounds(training, "event_id", batch=64).withColumn("pipeline", F.lit(1))
-
-
-_PS = f"{_H}, tt AS (SELECT *, ((row_number() OVER (PARTITION BY worker ORDER BY event_id) - 1) // 64)::INT AS round FROM g WHERE NOT held)"
-_R0 = _fold_sql("PA", "(SELECT * FROM tt WHERE round = 0)", "worker", "event_id", "y", "m")
-_V1 = f"v1 AS (SELECT sum(w0) / {P} AS w0, sum(w1) / {P} AS w1, sum(b) / {P} AS b, sum(rn)::BIGINT AS fitted FROM m_last)"
-_R1 = _fold_sql(
-    "PA", "(SELECT * FROM tt WHERE round = 1)", "worker", "event_id", "y", "k",
-    "SELECT DISTINCT o.worker, 0::BIGINT AS rn, v1.w0, v1.w1, v1.b FROM k_o o, v1",
-)
+    return workers.rounds(training, "event_id").withColumn("pipeline", F.lit(1))
 
 
-@query(f"WITH RECURSIVE {_PS}, {_R0} SELECT worker, round(w0, 6) + 0.0::DOUBLE AS d0, round(w1, 6) + 0.0::DOUBLE AS d1, round(b, 6) + 0.0::DOUBLE AS d2, rn AS fitted FROM m_last")
-def ps_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mini = server.batches(_round_points(spark, sf_dir).where("round = 0"), ["pipeline"], "event_id")
-    out = server.deltas(mini, None, ["pipeline"], 2)
-    return out.select("worker", *[r6(la.at("delta", i)).alias(f"d{i}") for i in range(3)], "fitted")
+def _list_fold(points: str, start: str, kind: str = "PA") -> str:
+    """The weights (intercept last) after a list of structs (x with a last 1, y), from ``start``."""
+    m = "list_dot_product(s.w, p.x)"
+    if kind == "PA":
+        tau = f"greatest(1 - p.y * {m}, 0) / (list_dot_product(p.x, p.x) + 50) * p.y"
+    else:
+        tau = f"greatest(abs(p.y - {m}), 0) / (list_dot_product(p.x, p.x) + 50) * CASE WHEN p.y - {m} >= 0 THEN 1 ELSE -1 END"
+    first = f"{{x: []::DOUBLE[], y: 0::DOUBLE, w: {start}}}"
+    step = f"list_transform([{tau}], lambda t: {{x: p.x, y: p.y, w: list_transform(s.w, lambda v, i: v + t * p.x[i])}})[1]"
+    return f"list_reduce(list_prepend({first}, {points}), lambda s, p: {step}).w"
 
 
-def _global(models: DataFrame) -> DataFrame:
-    return models.select(*[r6(la.at("v", i)).alias(n) for i, n in enumerate(("w0", "w1", "b"))], "fitted")
+def _as_list(y: str, order: str = "event_id") -> str:
+    return f"list({{x: [x0, x1, 1], y: {y}::DOUBLE, w: []::DOUBLE[]}} ORDER BY {order})"
 
 
-@query(f"WITH RECURSIVE {_PS}, {_R0}, {_V1} SELECT round(w0, 6) + 0.0::DOUBLE AS w0, round(w1, 6) + 0.0::DOUBLE AS w1, round(b, 6) + 0.0::DOUBLE AS b, fitted FROM v1")
-def ps_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _global(server.train_rounds(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P, 1))
+_PS = f"""{_RND}, mini AS (SELECT worker, round, count(*)::BIGINT AS n, {_as_list('y')} AS rows FROM t GROUP BY worker, round),
+ps AS (SELECT 0 AS round, [0::DOUBLE, 0, 0] AS v, 0::BIGINT AS fitted
+  UNION ALL SELECT round + 1, [{', '.join(f'v[{i}] + sum(w[{i}] - v[{i}]) / {P}' for i in (1, 2, 3))}], (fitted + sum(n))::BIGINT
+  FROM (SELECT s.round, s.v, s.fitted, n, {_list_fold('rows', 's.v')} AS w FROM ps s JOIN mini USING (round)) GROUP BY round, v, fitted)"""
+_AT = lambda v, names: ", ".join(f"round({v}[{i + 1}], 6) + 0.0::DOUBLE AS {n}" for i, n in enumerate(names))
 
 
-@query(f"""WITH RECURSIVE {_PS}, {_R0}, {_V1}, {_R1},
-d AS (SELECT sum(k.w0 - v1.w0) / {P} AS w0, sum(k.w1 - v1.w1) / {P} AS w1, sum(k.b - v1.b) / {P} AS b, sum(k.rn) AS fitted FROM k_last k, v1)
-SELECT round(v1.w0 + d.w0, 6) + 0.0::DOUBLE AS w0, round(v1.w1 + d.w1, 6) + 0.0::DOUBLE AS w1, round(v1.b + d.b, 6) + 0.0::DOUBLE AS b, (v1.fitted + d.fitted)::BIGINT AS fitted FROM v1, d""")
-def ps_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _global(server.train_rounds(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P, 2))
+@query(f"""WITH RECURSIVE {_PS}, d AS (SELECT round, worker, n, s.v, {_list_fold('rows', 's.v')} AS w FROM ps s JOIN mini USING (round)),
+k AS (SELECT round, worker, n AS fitted, list_transform(w, lambda x, i: x - v[i]) AS d FROM d)
+SELECT round, worker, {_AT('d', ('d0', 'd1', 'd2'))}, fitted FROM k""")
+def ps_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every worker's delta of every round."""
+    out = server.round_deltas(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P)
+    return out.select("round", "worker", *[r6(la.at("delta", i)).alias(f"d{i}") for i in range(3)], "fitted")
 
 
-def _all_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training = workers.holdout(_assigned(spark, sf_dir), "event_id").where("NOT held")
-    return server.round_deltas(workers.rounds(training, "event_id").withColumn("pipeline", F.lit(1)), ["pipeline"], "event_id", 2, P)
+def _global(models: DataFrame) -> DataFrame:
+    return models.select(*[r6(la.at("v", i)).alias(n) for i, n in enumerate(("w0", "w1", "b"))], "fitted")
 
 
-@query()
-def ps_all_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every worker's delta of every round, at the production batch."""
-    return _all_deltas(spark, sf_dir).select("round", "worker", *[r6(la.at("delta", i)).alias(f"d{i}") for i in range(3)], "fitted")
+@query(f"WITH RECURSIVE {_PS} SELECT {_AT('v', ('w0', 'w1', 'b'))}, fitted FROM ps WHERE fitted > 0 QUALIFY row_number() OVER (ORDER BY round DESC) = 1")
+def ps_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The global model after all rounds, from the deltas of all of them."""
+    deltas = server.round_deltas(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P)
+    return _global(server.averaged(deltas, None, ["pipeline"], P))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PS} SELECT {_AT('v', ('w0', 'w1', 'b'))}, fitted FROM ps WHERE fitted > 0 QUALIFY row_number() OVER (ORDER BY round DESC) = 1")
 def ps_all_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The global model after all rounds, at the production batch."""
-    return _global(server.averaged(_all_deltas(spark, sf_dir), None, ["pipeline"], P))
+    """The same by a job a round: every round's mini-batches are folded in the JVM from the model of the round before."""
+    points = _round_points(spark, sf_dir)
+    last = points.agg(F.max("round")).first()[0]
+    if last is None:
+        return _global(server.averaged(server.round_deltas(points, ["pipeline"], "event_id", 2, P), None, ["pipeline"], P))
+    return _global(server.train_rounds(points, ["pipeline"], "event_id", 2, P, last + 1))
 
 
 # --- linear algebra ---------------------------------------------------------------------------------------------
@@ -539,13 +609,20 @@ def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", r6(la.magnitude("v")).alias("norm"))
 
 
-@query(f"""WITH {V}, o AS (SELECT vec_id, unnest(range(4))::INT AS i, v[1:4] AS a, v[5:8] AS b FROM v),
-p AS (SELECT vec_id, i, unnest(range(4))::INT AS j, a, b FROM o)
-SELECT vec_id, i, j, round(a[i + 1] * b[j + 1], 6) + 0.0::DOUBLE AS x FROM p""")
+_PRODUCTS = f"""{V}, o AS (SELECT vec_id, label, v, unnest(range(len(v)))::INT AS i FROM v),
+p AS (SELECT label, i, unnest(range(len(v)))::INT AS j, v[i + 1] AS a, unnest(v) AS b, unnest(list_reverse(v)) AS c FROM o)"""
+
+
+def _cells(rows: DataFrame, matrix: Column) -> DataFrame:
+    """Sums of matrices by label, as (label, i, j, x)."""
+    each = rows.select("label", F.posexplode(matrix).alias("i", "row")).select("label", "i", F.posexplode("row").alias("j", "x"))
+    return each.groupBy("label", "i", "j").agg((F.round(F.sum("x"), 5) + F.lit(0.0)).alias("x"))
+
+
+@query(f"WITH {_PRODUCTS} SELECT label, i, j, round(sum(a * c), 5) + 0.0::DOUBLE AS x FROM p GROUP BY label, i, j")
 def vec_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = la.outer(F.slice("v", 1, 4), F.slice("v", 5, 4))
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(m).alias("i", "row"))
-    return rows.select("vec_id", "i", F.posexplode("row").alias("j", "x")).withColumn("x", r6(F.col("x")))
+    """Outer products of whole vectors with their reverses, summed by label."""
+    return _cells(vectors(spark, sf_dir), la.outer("v", F.reverse("v")))
 
 
 @query(_spread_sql("list_transform(v, lambda x, i: x + 0.5 * v[len(v) + 1 - i])"))
@@ -601,51 +678,114 @@ def matrix_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return la.matrix_from_coo(entries, ["k"]).withColumn("v", F.round("v", 2))
 
 
-@query(f"""WITH {V}, o AS (SELECT vec_id, unnest(range(3))::INT AS i, v FROM v), p AS (SELECT vec_id, i, unnest(range(3))::INT AS j, v FROM o)
-SELECT vec_id, i, j, round(CASE WHEN i = j THEN 1 ELSE 0 END + 0.5 * v[i + 1] * v[j + 1], 6) + 0.0::DOUBLE AS x FROM p""")
+@query(f"WITH {_PRODUCTS} SELECT label, i, j, round(sum(CASE WHEN i = j THEN 1 ELSE 0 END + 0.5 * a * b), 5) + 0.0::DOUBLE AS x FROM p GROUP BY label, i, j")
 def syr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(la.syr(0.5, F.slice("v", 1, 3), la.identity(3))).alias("i", "row"))
-    return rows.select("vec_id", "i", F.posexplode("row").alias("j", "x")).withColumn("x", r6(F.col("x")))
+    """Identity plus half of x xT for whole vectors, summed by label."""
+    rows = vectors(spark, sf_dir)
+    eye = F.transform("v", lambda _, i: F.transform("v", lambda _, j: F.when(i == j, 1.0).otherwise(0.0)))
+    return _cells(rows.withColumn("eye", eye), la.syr(0.5, "v", "eye"))
+
+
+_SET = "list_transform(t, lambda x, i: CASE WHEN i = vec_id % 64 + 1 THEN 9.0::DOUBLE ELSE x END)"
+
+
+@query(f"WITH {_THIN}, u AS (SELECT vec_id, {_SET} AS u FROM t) SELECT vec_id, unnest(range(64))::INT AS pos, round(unnest(u), 6) + 0.0::DOUBLE AS x FROM u")
+def sparse_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place of each sparse vector is set, stored before or not."""
+    changed = la.sparse_updated(la.to_sparse(_thin()), (F.col("vec_id") % 64).cast("int"), F.lit(9.0))
+    return _spread(vectors(spark, sf_dir), "vec_id", la.to_dense(changed))
+
+
+@query(f"""WITH {_THIN}, o AS (SELECT label, t.vec_id, t, unnest(range(len(t)))::INT AS i FROM t JOIN embeddings USING (vec_id)),
+p AS (SELECT label, i, unnest(range(len(t)))::INT AS j, t[i + 1] * unnest(list_reverse(t)) AS x FROM o)
+SELECT label, i, j, round(sum(x), 5) + 0.0::DOUBLE AS x, count(*)::BIGINT AS n FROM p WHERE x <> 0 GROUP BY label, i, j""")
+def sparse_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of sparse vectors with their reverses, summed by label; zeros are never made."""
+    each = vectors(spark, sf_dir).select("label", F.explode(la.sparse_outer(la.to_sparse(_thin()), la.to_sparse(F.reverse(_thin())))).alias("p"))
+    return each.groupBy("label", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg((F.round(F.sum("p.v"), 5) + F.lit(0.0)).alias("x"), F.count(F.lit(1)).alias("n"))
+
+
+def _square(v: Column) -> Column:
+    """64 components as an 8 x 8 matrix."""
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(v, i * 8 + 1, 8))
+
+
+@query(f"""WITH {_THIN}, u AS (SELECT vec_id, {_SET} AS u FROM t)
+SELECT vec_id, len(list_filter(u, lambda x: x <> 0))::INT AS nnz, u[vec_id % 64 + 1] AS cell, unnest(range(64))::INT AS pos, round(unnest(u), 6) + 0.0::DOUBLE AS x FROM u""")
+def sparse_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 x 8 matrices, made sparse by columns, a cell set and read, and made dense again."""
+    i, j = (F.floor(F.col("vec_id") % 64 / 8)).cast("int"), (F.col("vec_id") % 8).cast("int")
+    m = vectors(spark, sf_dir).select("vec_id", la.sparse_matrix_updated(la.matrix_to_sparse(_square(_thin())), i, j, F.lit(9.0)).alias("m"))
+    m = m.select("vec_id", F.size("m.entries").alias("nnz"), la.sparse_matrix_at("m", i, j).alias("cell"), F.posexplode(F.flatten(la.matrix_to_dense("m"))).alias("pos", "x"))
+    return m.withColumn("x", r6(F.col("x")))
+
+
+@query(f"""WITH {V}, u AS (SELECT vec_id, v[vec_id % 64 + 1] AS before, list_transform(v, lambda x, i: CASE WHEN i = vec_id % 64 + 1 THEN 9.0::DOUBLE ELSE x END) AS u FROM v)
+SELECT vec_id, round(before, 6) + 0.0::DOUBLE AS before, before = 9 AS same, unnest(range(64))::INT AS pos, round(unnest(u), 6) + 0.0::DOUBLE AS x FROM u""")
+def dense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell of each 8 x 8 matrix is read and set; is the matrix still equal to the one before?"""
+    i, j = (F.floor(F.col("vec_id") % 64 / 8)).cast("int"), (F.col("vec_id") % 8).cast("int")
+    m = vectors(spark, sf_dir).select("vec_id", _square(F.col("v")).alias("m")).withColumn("n", la.matrix_updated("m", i, j, F.lit(9.0)))
+    out = m.select("vec_id", r6(la.matrix_at("m", i, j)).alias("before"), la.equal_matrix("m", "n").alias("same"), F.posexplode(F.flatten("n")).alias("pos", "x"))
+    return out.withColumn("x", r6(F.col("x")))
+
+
+@query(f"WITH {V} SELECT vec_id, v = list_reverse(v) AS palindrome, true AS kept, unnest(range(len(v)))::INT AS pos, round(unnest(v), 6) + 0.0::DOUBLE AS x FROM v")
+def ml_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To vectors of Spark's machine-learning library and back."""
+    back = la.from_ml(la.to_ml("v"))
+    out = vectors(spark, sf_dir).select("vec_id", la.equal("v", F.reverse("v")).alias("palindrome"), la.equal("v", back).alias("kept"), F.posexplode(back).alias("pos", "x"))
+    return out.withColumn("x", r6(F.col("x")))
+
+
+@query("""SELECT l_suppkey, l_linenumber::INT AS i, round(sum(l_quantity), 4) AS x FROM lineitem GROUP BY ALL""")
+def sparse_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors from entries in one array, of which several may name a place."""
+    entries = F.collect_list(F.struct(F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x")))
+    built = lineitem(spark, sf_dir).groupBy("l_suppkey").agg(entries.alias("e")).select("l_suppkey", la.sparse(8, "e").alias("s"))
+    each = built.select("l_suppkey", F.explode(F.arrays_zip(F.col("s.indices").alias("i"), F.col("s.values").alias("x"))).alias("p"))
+    return each.select("l_suppkey", F.col("p.i").alias("i"), F.round("p.x", 4).alias("x"))
 
 
 # --- parameters -------------------------------------------------------------------------------------------------
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two linear models a vector: components 1-4 with 5, and 6-9 with 10."""
-    part = lambda i: pa.linear(F.slice("v", i, 4), la.at("v", i + 3))
-    return vectors(spark, sf_dir).select("vec_id", "v", part(1).alias("p"), part(6).alias("q"))
+    """Two linear models a vector: its first and its second half, each with its last component as intercept."""
+    half = F.floor(F.size("v") / 2).cast("int")
+    part = lambda low: pa.linear(F.slice("v", low + 1, half - 1), F.get("v", low + half - 1))
+    return vectors(spark, sf_dir).select("vec_id", "v", part(F.lit(0)).alias("p"), part(half).alias("q"), pa.unflatten("v").alias("whole"))
 
 
-@query(_spread_sql("list_transform(v[1:5], lambda x, i: x + v[i + 5])"))
+@query(_spread_sql("list_transform(v[1:len(v) // 2], lambda x, i: x + v[i + len(v) // 2])"))
 def param_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.plus("p", "q")))
 
 
-@query(_spread_sql("list_transform(v[1:5], lambda x, i: x - v[i + 5])"))
+@query(_spread_sql("list_transform(v[1:len(v) // 2], lambda x, i: x - v[i + len(v) // 2])"))
 def param_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.minus("p", "q")))
 
 
-@query(_spread_sql("list_transform(v[1:5], lambda x: x * 3)"))
+@query(_spread_sql("list_transform(v, lambda x: x * 3)"))
 def param_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.times("p", 3)))
+    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.times("whole", 3)))
 
 
-@query(_spread_sql("list_transform(v[1:5], lambda x: x * 0.25)"))
+@query(_spread_sql("list_transform(v, lambda x: x * 0.25)"))
 def param_div(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.over("p", 4)))
+    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.over("whole", 4)))
 
 
-@query(_spread_sql("v[1:5]"))
+@query(_spread_sql("v"))
 def param_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.unflatten(pa.flatten("p"))))
+    return _spread(_models(spark, sf_dir), "vec_id", pa.flatten(pa.unflatten(pa.flatten("whole"))))
 
 
-@query(_spread_sql("v[1:12]"))
+@query(_spread_sql("list_concat(v, v[1:8])"))
 def matrix_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 3 x 3 matrix and a vector of 3, flattened, rebuilt and flattened again: the shape survives."""
-    m = vectors(spark, sf_dir).select("vec_id", pa.unflatten_matrix(F.slice("v", 1, 12), 3).alias("m"))
+    """The whole vector as an 8 x 8 matrix and eight numbers, flattened, rebuilt and flattened again: the shape survives."""
+    m = vectors(spark, sf_dir).select("vec_id", pa.unflatten_matrix(F.concat("v", F.slice("v", 1, 8)), 8).alias("m"))
     return _spread(m, "vec_id", pa.flatten_matrix("m"))
 
 
@@ -655,58 +795,54 @@ def bucket_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(vectors(spark, sf_dir), "vec_id", pa.bucket_slice("v", start, start + 2))
 
 
+@query(f"""WITH {V} SELECT vec_id, (len(v) - 1)::INT AS weights, 1 AS intercepts, 0::BIGINT AS first, (len(v) - 1)::BIGINT AS last, label::BIGINT AS fitted,
+       round(list_sum(v), 5) + 0.0::DOUBLE AS total FROM v""")
+def param_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models packed for sending: sizes, flat parameters, bucket, points fitted."""
+    d = _models(spark, sf_dir).join(vectors(spark, sf_dir).select("vec_id", "label"), "vec_id").select("vec_id", pa.descriptor("whole", "label").alias("d"))
+    return d.select(
+        "vec_id", F.get("d.sizes", F.lit(0)).alias("weights"), F.get("d.sizes", F.lit(1)).alias("intercepts"), F.col("d.bucket.start").alias("first"),
+        F.col("d.bucket.end").alias("last"), F.col("d.fitted").alias("fitted"), (F.round(la.total("d.params"), 5) + 0.0).alias("total"),
+    )
+
+
+@query(f"""WITH {V}, u AS (SELECT vec_id, [v[1:40], v[41:63], v[64:64]] AS u FROM v), p AS (SELECT vec_id, unnest(range(3))::INT AS part, unnest(u) AS w FROM u)
+SELECT vec_id, part, len(w)::INT AS n, round(list_sum(w), 5) + 0.0::DOUBLE AS total FROM p""")
+def param_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat parameters cut into parts of 40, 23 and 1."""
+    parts = vectors(spark, sf_dir).select("vec_id", F.posexplode(pa.unwrap("v", [40, 23, 1])).alias("part", "w"))
+    return parts.select("vec_id", "part", F.size("w").alias("n"), (F.round(la.total("w"), 5) + 0.0).alias("total"))
+
+
 # --- serving and pipelines --------------------------------------------------------------------------------------
 
 
-def _two_models(spark: SparkSession, sf_dir: str, some: str = "true") -> DataFrame:
-    """Two pipelines trained on all training records of E, or on those that meet ``some``: a classifier on labels, a regressor on values."""
-    e = e_points(spark, sf_dir).where("operation = 'training'").where(some)
+def _two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pipelines trained on all training records of E: a classifier on labels, a regressor on values."""
+    e = e_points(spark, sf_dir).where("operation = 'training'")
     one = learners.fit_in_order(e.withColumn("pipeline", F.lit(1)), ["pipeline"], "event_id", "PA").withColumn("kind", F.lit("PA"))
     two = e.withColumns({"pipeline": F.lit(2), "y": F.col("value")})
     return one.unionByName(learners.fit_in_order(two, ["pipeline"], "event_id", "regressorPA").withColumn("kind", F.lit("regressorPA")))
 
 
-#: The records that the SQL of predict_all_pipelines and query_response trains on; the queries named whole_ take all.
-_THIRD = "event_id % 3 = 0"
+_TWO = f"""{_TRAIN}, ls AS (SELECT count(*)::BIGINT AS n, {_as_list('y')} AS ys, {_as_list('value')} AS vs FROM tr),
+ms AS (SELECT n, {_list_fold('ys', '[0::DOUBLE, 0, 0]')} AS w, {_list_fold('vs', '[0::DOUBLE, 0, 0]', 'regressorPA')} AS u FROM ls),
+pr AS (SELECT te.*, n, list_dot_product(w, [x0, x1, 1]) AS m1, list_dot_product(u, [x0, x1, 1]) AS m2 FROM te, ms)"""
 
 
-def _two_sql() -> str:
-    thirds = "tr3 AS (SELECT *, 1 AS p FROM tr WHERE event_id % 3 = 0)"
-    return f"{_TRAIN}, {thirds}, {_fold_sql('PA', 'tr3', 'p', 'event_id', 'y', 'm')}, {_fold_sql('regressorPA', 'tr3', 'p', 'event_id', 'value', 'n')}"
-
-
-@query(f"""WITH RECURSIVE {_two_sql()}
-SELECT event_id, 1 AS pipeline, CASE WHEN w0 * x0 + w1 * x1 + b >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM te, m_last
-UNION ALL SELECT event_id, 2, round(w0 * x0 + w1 * x1 + b, 5) + 0.0::DOUBLE FROM te, n_last""")
+@query(f"""WITH {_TWO} SELECT event_id, 1 AS pipeline, CASE WHEN m1 >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM pr
+UNION ALL SELECT event_id, 2, round(m2, 5) + 0.0::DOUBLE FROM pr""")
 def predict_all_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir, _two_models(spark, sf_dir, _THIRD))
-
-
-@query()
-def whole_predict_all_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir, _two_models(spark, sf_dir))
-
-
-def _predictions(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame:
     test = e_points(spark, sf_dir).where("operation = 'forecasting'").select("event_id", "x")
-    return serve.predict_all(test, models).select("event_id", "pipeline", (F.round("prediction", 5) + 0.0).alias("prediction"))
+    out = serve.predict_all(test, _two_models(spark, sf_dir))
+    return out.select("event_id", "pipeline", (F.round("prediction", 5) + 0.0).alias("prediction"))
 
 
-@query(f"""WITH RECURSIVE {_two_sql()}
-SELECT 11::BIGINT AS response_id, 1 AS id, 'PA' AS learner, any_value(rn)::BIGINT AS data_fitted,
-       round(avg(CASE WHEN (w0 * x0 + w1 * x1 + b >= 0) = (te.y > 0) THEN 1.0::DOUBLE ELSE 0 END), 5) AS score FROM te, m_last
-UNION ALL SELECT 12, 2, 'regressorPA', any_value(rn), round(sqrt(avg((value - (w0 * x0 + w1 * x1 + b)) ** 2)), 5) FROM te, n_last""")
+@query(f"""WITH {_TWO} SELECT 11::BIGINT AS response_id, 1 AS id, 'PA' AS learner, any_value(n) AS data_fitted,
+       round(avg(CASE WHEN (m1 >= 0) = (y > 0) THEN 1.0::DOUBLE ELSE 0 END), 5) AS score FROM pr
+UNION ALL SELECT 12, 2, 'regressorPA', any_value(n), round(sqrt(avg((value - m2) ** 2)), 5) FROM pr""")
 def query_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _responses(spark, sf_dir, _two_models(spark, sf_dir, _THIRD))
-
-
-@query()
-def whole_query_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _responses(spark, sf_dir, _two_models(spark, sf_dir))
-
-
-def _responses(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame:
-    test = e_points(spark, sf_dir).where("operation = 'forecasting'")
+    test, models = e_points(spark, sf_dir).where("operation = 'forecasting'"), durable(_two_models(spark, sf_dir), "models")
     test = test.withColumn("pipeline", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("y", F.when(F.col("pipeline") == 1, F.col("y")).otherwise(F.col("value")))
     asked = spark.createDataFrame([(11, 1), (12, 2)], "requestId long, pipeline int")
     out = serve.responses(asked, models, serve.scores(test, models))
@@ -715,13 +851,21 @@ def _responses(spark: SparkSession, sf_dir: str, models: DataFrame) -> DataFrame
     )
 
 
-@query()
+@query(f"""WITH {EREC}, {_TWO}, b AS (SELECT event_id, 1 AS pipeline, CASE WHEN m1 >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS p FROM pr UNION ALL SELECT event_id, 2, m2 FROM pr)
+SELECT id, pipeline, round(p, 5) + 0.0::DOUBLE AS prediction, r.operation, round(r.x0, 6) AS x0, CASE WHEN discrete THEN 1 ELSE 0 END::INT AS n_discrete, true AS untargeted
+FROM b JOIN r ON event_id = id""")
 def prediction_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions as the JSON texts that go to a topic."""
+    """Predictions as the JSON texts that go to a topic, read back."""
     test = e_records(spark, sf_dir).where("operation = 'forecasting'").withColumn("x", F.col("numericFeatures"))
     point = F.struct(*records.RECORD.names)
     out = serve.predict_all(test, _two_models(spark, sf_dir))
-    return out.select("id", "pipeline", records.as_json(F.col("pipeline").alias("mlPipeline"), point.alias("dataPoint"), "prediction").alias("value"))
+    texts = out.select(records.as_json(F.col("pipeline").alias("mlPipeline"), point.alias("dataPoint"), "prediction").alias("value"))
+    back = texts.select(F.from_json("value", records.PREDICTION).alias("p")).select("p.*")
+    return back.select(
+        F.col("dataPoint.id").alias("id"), F.col("mlPipeline").alias("pipeline"), (F.round("prediction", 5) + 0.0).alias("prediction"), "dataPoint.operation",
+        r6(F.get("dataPoint.numericFeatures", F.lit(0))).alias("x0"), F.coalesce(F.size("dataPoint.discreteFeatures"), F.lit(0)).alias("n_discrete"),
+        F.col("dataPoint.target").isNull().alias("untargeted"),
+    )
 
 
 _POLY = {

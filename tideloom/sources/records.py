@@ -11,7 +11,6 @@ VERBS = ("Create", "Update", "Delete", "Query")
 PROTOCOLS = ("Asynchronous", "Synchronous", "DynamicAveraging", "FGM")
 
 
-
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -31,6 +30,7 @@ REQUEST = _schema(
     preprocessors=T.ArrayType(_PART),
     learner=_PART,
     training_configuration=T.VariantType(),
+    protocol=T.StringType(),
 )
 PREDICTION = _schema(mlPipeline=T.IntegerType(), dataPoint=RECORD, prediction=T.DoubleType())
 
@@ -67,6 +67,7 @@ def request_valid(r: Column) -> Column:
         & (r["learner"].isNull() | r["learner"]["name"].isNotNull())
         & named
         & (protocol.isNull() | protocol.isin(*PROTOCOLS))
+        & (r["protocol"].isNull() | r["protocol"].isin(*PROTOCOLS))
         & (~has_batch | batch_ok)
         & ((verb != "Query") | r["requestId"].isNotNull())
     )
@@ -84,19 +85,42 @@ def rejects(df: DataFrame, schema: T.StructType = RECORD, text: str = "value") -
     return parse(df, schema, text).where(~ok(F.col("record"))).select(text)
 
 
-def requests(df: DataFrame, text: str = "value") -> DataFrame:
-    """Valid requests; a text may hold one request or a list under ``requests``, where ``protocol`` may stand beside."""
+def requests(df: DataFrame, text: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Valid requests; a text may hold one request or a list under ``requests``, where ``protocol`` may stand beside.
+
+    ``keep`` names columns to carry; of them an array ``place`` gets the request's place in its list appended.
+    """
+    kept = list(keep or [])
     single = F.get_json_object(F.col(text), "$.requests").isNull()
-    one = df.where(single).select(F.col(text).alias("_text"))
     listed = F.from_json(F.get_json_object(F.col(text), "$.requests"), "array<variant>")
-    many = df.where(~single).select(F.explode(F.transform(listed, lambda v: F.to_json(v))).alias("_text"))
-    return parse(one.unionByName(many), REQUEST, "_text").where(request_valid(F.col("record"))).select("record.*")
+    each = F.when(single, F.array(F.col(text))).otherwise(F.transform(listed, lambda v: F.to_json(v)))
+    rows = df.select(*kept, F.posexplode(each).alias("_at", "_text"))
+    if "place" in kept:
+        rows = rows.withColumn("place", F.concat("place", F.array(F.lpad(F.col("_at").cast("string"), 20, "0"))))
+    found = parse(rows, REQUEST, "_text").where(request_valid(F.col("record")))
+    return found.select("record.*", *kept)
+
+
+def spec_of() -> Column:
+    """What a request says about its pipeline, as JSON text."""
+    return F.to_json(F.struct("preprocessors", "learner", "training_configuration", "protocol"))
 
 
-def points(valid: DataFrame) -> DataFrame:
-    """Training points (id, x, y): numeric features only, without discrete ones; a null target stays unlabelled."""
+def placed(df: DataFrame) -> DataFrame:
+    """``value`` with ``place``, an array of sortable texts: partition and offset of a topic, or time, path and line of a file."""
+    number = lambda c: F.lpad(c.cast("string"), 20, "0")
+    if "offset" in df.columns:
+        return df.select("value", F.array(number(F.unix_micros("timestamp")), number(F.col("partition")), number(F.col("offset"))).alias("place"))
+    line = number(F.monotonically_increasing_id())
+    if "file_path" in df.columns:
+        return df.select("value", F.array(number(F.unix_micros("file_time")), F.col("file_path"), number(F.col("file_block")), line).alias("place"))
+    return df.select("value", F.array(line).alias("place"))
+
+
+def points(valid: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Training points (``keep``, id, x, y): numeric features only, without discrete ones; a null target stays unlabelled."""
     usable = F.col("numericFeatures").isNotNull() & F.col("discreteFeatures").isNull() & (F.col("operation") == "training")
-    return valid.where(usable).select("id", F.col("numericFeatures").alias("x"), F.col("target").alias("y"))
+    return valid.where(usable).select(*(keep or []), "id", F.col("numericFeatures").alias("x"), F.col("target").alias("y"))
 
 
 def csv_to_doubles(text: Column) -> Column:
@@ -107,6 +131,32 @@ def as_json(*columns, pretty: bool = False) -> Column:
     return F.to_json(F.struct(*columns), {"pretty": "true"} if pretty else {})
 
 
+def as_bytes(*columns) -> Column:
+    """Compact JSON as the bytes of a message."""
+    return as_json(*columns).cast("binary")
+
+
+def text_source(spark: SparkSession, kind: str, where: str | list[str], group: str | None = None, **options) -> DataFrame:
+    """A stream of texts in ``value`` with the columns that ``placed`` orders by.  ``where``: topic or folder, or several."""
+    if isinstance(where, list):
+        each = [text_source(spark, kind, w, group, **options) for w in where]
+        out = each[0]
+        for other in each[1:]:
+            out = out.unionByName(other)
+        return out
+    if kind == "kafka":
+        return source(spark, kind, where, **({"kafka.group.id": group} if group else {}) | options)
+    got = source(spark, kind, where, **options)
+    meta = {"file_time": "file_modification_time", "file_path": "file_path", "file_block": "file_block_start"}
+    return got.select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()])
+
+
+def text_static(spark: SparkSession, where: str) -> DataFrame:
+    """The texts of a folder as they are now, with the columns of ``text_source``."""
+    meta = {"file_time": "file_modification_time", "file_path": "file_path", "file_block": "file_block_start"}
+    return spark.read.text(where).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()])
+
+
 def source(spark: SparkSession, kind: str, where: str, schema: T.StructType | None = None, streaming: bool = True, **options) -> DataFrame:
     """Texts (``value``) or rows of a topic or folder.  kind: kafka (where: topic), text, json, parquet, csv, orc, rate.
 
@@ -129,6 +179,13 @@ def with_metadata(df: DataFrame) -> DataFrame:
     return df.withColumn("metadata", F.struct("topic", "partition", key.alias("key"), "offset", F.unix_millis("timestamp").alias("timestamp")))
 
 
+def deserialized(df: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
+    """Messages as ``record`` (null where bytes don't give a valid one) and ``metadata``."""
+    ok = record_valid if schema is RECORD else request_valid
+    parsed = parse(with_metadata(df).withColumn("_text", F.col("value").cast("string")), schema, "_text").drop("_text")
+    return parsed.withColumn("record", F.when(ok(F.col("record")), F.col("record")))
+
+
 def sink(df: DataFrame, kind: str, where: str, **options) -> None:
     """Writes a batch: kafka needs a ``value`` column; others take any rows."""
     writer = df.write.format(kind).options(**options)
