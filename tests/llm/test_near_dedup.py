@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,11 +7,16 @@ import pytest
 from tideloom.llm import near_dedup
 
 
-def brute(rows, width=5, part=75, whole=100):
+def word_sets(rows, width=5):
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return sets
+
+
+def joined(rows, sets, links):
+    """Rows of the result from the places of linked rows."""
     parent = {}
 
     def top(x):
@@ -18,17 +24,48 @@ def brute(rows, width=5, part=75, whole=100):
             x = parent[x]
         return x
 
-    for i, (a, _) in enumerate(rows):
-        for j in range(i):
-            b = rows[j][0]
-            if a is None or b is None or not sets[i] or not sets[j]:
-                continue
-            if whole * len(sets[i] & sets[j]) >= part * len(sets[i] | sets[j]):
-                x, y = top(a), top(b)
-                parent[max(x, y)] = min(x, y)
+    for i, j in links:
+        x, y = top(rows[i][0]), top(rows[j][0])
+        parent[max(x, y)] = min(x, y)
     return sorted(((d, len(s), None if d is None else top(d), d is None or top(d) == d) for (d, _), s in zip(rows, sets)), key=repr)
 
 
+def brute(rows, width=5, part=75, whole=100):
+    sets = word_sets(rows, width)
+    usable = [i for i, (d, _) in enumerate(rows) if d is not None and sets[i]]
+    near = lambda i, j: whole * len(sets[i] & sets[j]) >= part * len(sets[i] | sets[j])
+    return joined(rows, sets, [(i, j) for i in usable for j in usable if j < i and near(i, j)])
+
+
+def exact_join(rows, part=75, whole=100):
+    """Every pair that shares a shingle, by counting through an inverted index; equal sets stand together."""
+    sets = word_sets(rows)
+    first, links, holders = {}, [], {}
+    for i, (d, _) in enumerate(rows):
+        if d is None or not sets[i]:
+            continue
+        if (same := first.setdefault(frozenset(sets[i]), i)) != i:
+            links.append((i, same))
+            continue
+        counts = {}
+        for shingle in sets[i]:
+            for j in holders.setdefault(shingle, []):
+                counts[j] = counts.get(j, 0) + 1
+            holders[shingle].append(i)
+        links += [(i, j) for j, both in counts.items() if whole * both >= part * (len(sets[i]) + len(sets[j]) - both)]
+    return joined(rows, sets, links)
+
+
+def test_equal_to_an_exact_join(spark):
+    """Whole documents of a fixture with planted copies."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no fixture tables")
+    docs = spark.read.parquet(str(path)).select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, near_dedup.link(docs).collect()), key=repr) == exact_join(rows)
+
+
 def test_against_all_pairs(near_copies):
     rows = [(r["doc_id"], r["text"]) for r in near_copies.collect()]
     got = near_dedup.link(near_copies).collect()

@@ -3,34 +3,31 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideloom.sources.storage import fresh, remove
+
 #: The six code points that count as white space in all operators here.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Scratch folders of the step that ``settle`` runs in this context.
+_step: ContextVar[set[str] | None] = ContextVar("_step", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh(spark, name)
     if not _made:
         atexit.register(_drop_all)
     _made.add(path)
+    if (step := _step.get()) is not None:
+        step.add(path)
     return path
 
 
@@ -38,14 +35,32 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there, and no executor's loss matters."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*dfs: DataFrame | None) -> None:
+    """Removes the folders of durable tables that nothing reads any more."""
+    for df in dfs:
+        if df is not None and (path := getattr(df, "_scratch", None)) in _made:
+            drop_scratch(df.sparkSession, path)
+
+
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The durable result of a step; whatever else the step wrote as scratch is removed."""
+    token = _step.set(set())
+    try:
+        out = durable(make(), name)
+        drop_scratch(out.sparkSession, *((_step.get() & _made) - {out._scratch}))
+    finally:
+        _step.reset(token)
+    return out
 
 
 def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        remove(spark, path)
         _made.discard(path)
 
 
@@ -69,6 +84,14 @@ def settled(df: DataFrame, rows: int, rows_each: int = 50_000) -> DataFrame:
     return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def sized_join(left: DataFrame, right: DataFrame, key: str, rows: int, rows_each: int) -> DataFrame:
+    """An inner join dealt by the number of rows of ``left``: into fewer tasks than the session's partitions, or into more."""
+    tasks = -(-rows // rows_each)
+    if tasks > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return left.repartition(tasks, key).join(right.repartition(tasks, key), key)
+    return settled(left.join(right, key), rows, rows_each)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ASCII-only texts take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

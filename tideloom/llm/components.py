@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, settled
+from .common import discard, durable, settled
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -31,15 +31,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ends and links of a node to itself are ignored; repeated links count once.
     """
     now = durable(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "links")
-    now, seen = settled(now, now.count()).distinct(), None
-    now = durable(now, "links")
+    first, seen = now, None
+    now = durable(settled(first, first.count()).distinct(), "links")
+    discard(first)
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or (state["n"], state["h"]) == seen:
             break
         seen, n = (state["n"], state["h"]), state["n"]
-        large = durable(settled(_large_star(settled(now, n), n).distinct(), n), "links")
+        large, last = durable(settled(_large_star(settled(now, n), n).distinct(), n), "links"), now
         now = durable(settled(_small_star(large, n).distinct(), n), "links")
+        discard(large, last)
     centres = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_for, settled
+from .common import discard, durable, partitions_for, settled, sized_join
 from .components import connected_components, merged_components
 from .shingles import mix, set_digest, shingle_sets
 
@@ -166,6 +166,9 @@ def _confirm(part: int, whole: int):
             ok = []
             for x, y in zip(b["x"], b["y"]):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                if whole * min(len(x), len(y)) < part * max(len(x), len(y)):  # too different in size
+                    ok.append(False)
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(whole * both >= part * (len(x) + len(y) - both))
             yield b.loc[ok, ["a", "b"]]
@@ -177,7 +180,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, rows: in
     """The pairs whose sets share at least part/whole of their union; ``rows``: how many pairs there are at most."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    both = settled(settled(pairs.select("a", "b").join(x, "a"), rows, 5_000).join(y, "b"), rows, 5_000)
+    both = sized_join(sized_join(pairs.select("a", "b"), x, "a", rows, 5_000), y, "b", rows, 5_000)
     return both.mapInPandas(_confirm(part, whole), "a long, b long")
 
 
@@ -201,6 +204,7 @@ def _split(members: DataFrame, components: DataFrame, rows: int) -> tuple[DataFr
     placed = durable(placed, "crowded")
     several = placed.groupBy("region").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("region")
     out = durable(settled(placed.join(settled(several, rows), "region", "left_semi"), rows), "crowded")
+    discard(placed)
     return out, out.count()
 
 
@@ -298,7 +302,7 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
     found = durable(connected_components(links), "components")
 
     # regions that hold several components: the nearest of other components twice, then every pair that is left
-    members, n, tried, sketches = crowded, crowded.count(), pairs, None
+    members, n, tried, sketches, used = crowded, crowded.count(), pairs, None, [pairs, sets, links]
     for nearest in (True, True, False):
         members, n = _split(members, found, n)
         if not n:
@@ -308,11 +312,15 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
             sketches = durable(settled(sets.join(reps, "doc_id", "left_semi"), n, 5_000).mapInPandas(_sketches, "rep long, n long, sketch binary"), "sketches")
         met = durable(_finish(members, n, sketches, part, whole, nearest), "met")
         n_met = met.count()
+        used += [members, sketches, met]
         fresh = durable(settled(settled(met, n_met).distinct().join(tried, ["a", "b"], "left_anti"), n_met), "candidates")
         new = durable(confirmed(fresh, sets, part, whole, fresh.count()), "links")
         tried = tried.unionByName(fresh)
+        used += [fresh, new]
         if not new.isEmpty():
+            used.append(found)
             found = durable(merged_components(found, new, found.count()), "components")
+    discard(*used)
 
     placed = groups.drop("regions").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.select("s1", "s2", F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component"))

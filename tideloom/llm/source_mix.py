@@ -6,8 +6,9 @@ source size), one random offset is added per source, and a document is emitted o
 stretch crosses.  The line runs through size classes, so words as well as documents come out near their target: the
 words of a source miss it by about the size of one document.
 
-Positions come from three levels of prefix sums: classes within a source, blocks (hashes of doc_id) within a class,
-and rows within a block.  Only the last works on rows, and a block holds a few hundred, whatever one source holds.
+Positions come from three levels of prefix sums: classes within a source, blocks (hashes of doc_id and text) within a
+class, and rows within a block.  Only the last works on rows, and a block holds a few hundred, whatever one source or one
+doc_id holds; only rows that are alike in both share a block.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; an empty table gives no rows;
 a source without words has target 0 and no copies; repeated rows are separate documents; copies agree between reruns,
@@ -64,13 +65,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
     return docs.withColumns(
-        {"_src": F.col("source"), "_size": n_words(F.col("text")), "_key": text_key(F.col("text"))}
+        {"_src": F.col("source"), "_size": n_words(F.col("text")), "_key": text_key(F.col("text")), "_hash": _hex(own)}
     ).withColumn("_cls", _size_class(F.col("_size")))
 
 
 def _in_block(rows: DataFrame, subs: int) -> DataFrame:
-    return rows.withColumn("_sub", _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.lit(subs))
+    return rows.withColumn("_sub", F.col("_hash") % F.lit(subs))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str, rows_each: int = 256):

@@ -14,11 +14,12 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM m GROUP BY doc_id
 """,
     "op2_source_mix": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT AS h FROM documents),
 c AS (SELECT *, CASE WHEN size < 16 THEN size
              ELSE 16 + (length(bin(size)) - 5) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS cls FROM d),
 subs AS (SELECT greatest(1, ceil(max(n) / 256.0))::BIGINT AS subs FROM (SELECT count(*) AS n FROM c GROUP BY source, cls)),
-b AS (SELECT c.*, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % subs AS sub FROM c, subs),
+b AS (SELECT c.*, h % subs AS sub FROM c, subs),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, sub, size, doc_id) AS rnk FROM b),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
