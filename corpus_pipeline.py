@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.llm import line_dedup, near_dedup, packing, quality, source_mix
-from tideloom.llm.common import durable
+from tideloom.llm.common import discard, settle
 from tideloom.llm.queries import quality_model
 
 
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, settle(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
