@@ -851,16 +851,19 @@ def query_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions as the JSON texts that go to a topic."""
+    test = e_records(spark, sf_dir).where("operation = 'forecasting'").withColumn("x", F.col("numericFeatures"))
+    out = serve.predict_all(test, _two_models(spark, sf_dir))
+    return out.select(records.as_json(F.col("pipeline").alias("mlPipeline"), F.struct(*records.RECORD.names).alias("dataPoint"), "prediction").alias("value"))
+
+
 @query(f"""WITH {EREC}, {_TWO}, b AS (SELECT event_id, 1 AS pipeline, CASE WHEN m1 >= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS p FROM pr UNION ALL SELECT event_id, 2, m2 FROM pr)
 SELECT id, pipeline, round(p, 5) + 0.0::DOUBLE AS prediction, r.operation, round(r.x0, 6) AS x0, CASE WHEN discrete THEN 1 ELSE 0 END::INT AS n_discrete, true AS untargeted
 FROM b JOIN r ON event_id = id""")
 def prediction_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions as the JSON texts that go to a topic, read back."""
-    test = e_records(spark, sf_dir).where("operation = 'forecasting'").withColumn("x", F.col("numericFeatures"))
-    point = F.struct(*records.RECORD.names)
-    out = serve.predict_all(test, _two_models(spark, sf_dir))
-    texts = out.select(records.as_json(F.col("pipeline").alias("mlPipeline"), point.alias("dataPoint"), "prediction").alias("value"))
-    back = texts.select(F.from_json("value", records.PREDICTION).alias("p")).select("p.*")
+    """The texts of predictions, read back."""
+    back = prediction_texts(spark, sf_dir).select(F.from_json("value", records.PREDICTION).alias("p")).select("p.*")
     return back.select(
         F.col("dataPoint.id").alias("id"), F.col("mlPipeline").alias("pipeline"), (F.round("prediction", 5) + 0.0).alias("prediction"), "dataPoint.operation",
         r6(F.get("dataPoint.numericFeatures", F.lit(0))).alias("x0"), F.coalesce(F.size("dataPoint.discreteFeatures"), F.lit(0)).alias("n_discrete"),
