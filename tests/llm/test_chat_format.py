@@ -41,3 +41,13 @@ def test_nulls_ties_and_empty(spark):
     got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_examples(df)).collect()}
     assert got[None]["n_turns"] == 2 and got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 0
     assert chat_format.digest(chat_format.format_examples(df.limit(0))).count() == 0
+
+
+def test_very_long_turns(spark):
+    long = "long é <|im_end|>\n" * 30_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "!"), (1, 2, "user", ""), (1, 3, "assistant", "short")]
+    examples = chat_format.format_examples(spark.createDataFrame([(*r, 1, 1) for r in rows], DDL))
+    row = chat_format.digest(examples).first()
+    whole = "".join(f"{r}\n{t}\n" for _, _, r, t in rows)
+    assert row["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and row["loss_chars"] == len(long) + 1 + 5
+    assert row["loss_sha256"] == hashlib.sha256((long + "!short").encode()).hexdigest()

@@ -111,3 +111,26 @@ def test_sql_twin_on_planted_links(spark):
     want = sorted(con.sql("SELECT page_id, host, path, rule, verdict FROM (" + SQL["op7_url_filter"] + ")").fetchall())
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES)
     assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == want
+
+
+def test_very_long_pages_and_urls(spark):
+    rows = [
+        (1, "http://a.net/" + "x" * 100_000, "<p>text</p>" * 50_000 + '<link rel="canonical" href="http://c.com/de/1">'),
+        (2, "http://" + "a." * 2_000 + "example.org/es/1", ""),
+        (3, "http://a.net/" + "x" * 100_000, "<!-- " * 20_000),
+    ]
+    got = judged(spark, rows)
+    assert [got[i]["verdict"] for i in (1, 2, 3)] == ["block", "block", "block"] and got[2]["rule"] == "example.org/es/"
+
+
+def test_what_is_visible():
+    import re
+
+    plainly = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+    rng = random.Random(8)
+    parts = ["<!--", "-->", "<script>", "</SCRIPT >", "<Style a>", "</style>", "<link>", " x ", "<scripts>", "<!-->"]
+    for _ in range(500):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert url_filter.visible(html) == plainly.sub(" ", html), html
+    long = "<!-- canonical " * 50_000 + '<link rel="canonical" href="http://b.net/">'
+    assert url_filter.links_in("http://a.net/", long) == ["http://b.net/"]

@@ -34,8 +34,9 @@ Rule = tuple[str, str, str]
 #: Bytes of rules that may be broadcast.
 BROADCAST = 32 << 20
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-_TAG = re.compile(r"<(link|meta)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_OPENS = re.compile(r"<!--|<script\b|<style\b", re.I)
+_CLOSES = {"<!--": re.compile("-->"), "<script": re.compile(r"</script\s*>", re.I), "<style": re.compile(r"</style\s*>", re.I)}
+_TAG = re.compile(r"<(link|meta)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _REFRESH = re.compile(r"^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['\"]?([^'\"]*)", re.I)
 
@@ -82,10 +83,26 @@ def decided(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.join(found, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "action": F.col("_best.action")}).drop("_best")
 
 
+def visible(html: str) -> str:
+    """Without comments, scripts and styles; what is never closed stays.  Every close is searched for once."""
+    out, at, endless = [], 0, set()
+    for opened in _OPENS.finditer(html):
+        kind = opened[0].lower()
+        if opened.start() < at or kind in endless:
+            continue
+        closed = _CLOSES[kind].search(html, opened.end())
+        if closed is None:
+            endless.add(kind)
+            continue
+        out.append(html[at : opened.start()])
+        at = closed.end()
+    return " ".join([*out, html[at:]])
+
+
 def links_in(url: str, html: str) -> list[str]:
     """Targets of a page's canonical links and meta redirects, resolved."""
     out = []
-    for m in _TAG.finditer(_HIDDEN.sub(" ", html)):
+    for m in _TAG.finditer(visible(html)):
         own = {a[0].lower(): html_entities.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m[2])}
         target = None
         if m[1].lower() == "link" and "canonical" in own.get("rel", "").lower().split():
