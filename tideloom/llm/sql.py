@@ -97,4 +97,19 @@ own AS (SELECT DISTINCT url, arg_max(h || t, length(h || t)) AS rule, arg_max(ac
 SELECT page_id, host, path, own.rule, coalesce(own.action, CASE WHEN standing.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN own ON own.url = p.url LEFT JOIN node ON node.u = p.url LEFT JOIN standing ON standing.n = node.n
 """.replace("{LOWER}", _LOWER),
+    # every pair of different sets that shares a shingle is counted, so this is for small tables
+    "op8_minhash_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END)) AS s FROM w),
+g AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+h AS (SELECT rep, n, unnest(s) AS h FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b FROM h a JOIN h b ON a.h = b.h AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+      HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT rep AS node, rep AS seen FROM g UNION SELECT c.node, e.b FROM c JOIN e ON c.seen = e.a),
+m AS (SELECT node, min(seen) AS component FROM c GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) IS NOT DISTINCT FROM s.doc_id AS kept
+FROM s LEFT JOIN g ON s.s = g.s AND s.doc_id IS NOT NULL LEFT JOIN m ON m.node = g.rep
+""",
 }
