@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,7 +200,11 @@ def _rated(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) -> tuple
     found = each.mapInPandas(_featured(bits), "_h long, doc_id long, grade int, _key long, f binary")
     # a rated doc_id may stand on any number of rows, so the bound comes after the join
     rows = found.orderBy(*order, "_key").limit(sample).select("grade", "f").toArrow()
-    return [np.frombuffer(f.as_py(), dtype=np.int32) for f in rows.column("f")], rows.column("grade").to_numpy().astype(np.int64)
+    lists = [np.frombuffer(f.as_py(), dtype=np.int32) for f in rows.column("f")]
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver keeps the lists alone
+    return lists, grades
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = 8_000, bits: int = 20, n_grades: int = 3) -> Model:
