@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tideloom.operators import learners, server
 from tideloom.plans import catalog
 
 
@@ -82,3 +83,40 @@ def test_parameter_server_takes_every_round(spark, few_events):
         last = catalog.QUERIES[name](spark, folder).collect()
         assert [tuple(r)[-1] for r in last] == [len(rows)]
         assert [last[0][c] for c in ("w0", "w1", "b")] == pytest.approx(w.tolist(), abs=2e-6)
+
+
+def test_rounds_cost_no_jobs_of_their_own(spark):
+    """120 rounds of two pipelines in the jobs of one, whatever the batches; also after fewer rounds and without what can't be learned from."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(i) // 12, int(i) % 3, int(i), rng.normal(size=2).tolist(), float(rng.choice([-1, 0, 1]))) for k in (None, 7) for i in range(1440)]
+    odd = [(7, 0, 0, -1, [1.0], 1.0), (7, 0, 0, -2, None, 1.0), (7, 0, 0, -3, [1.0, None], 1.0), (7, 0, 0, -4, [1.0, 1.0], 5.0), (7, 0, 0, -5, [1.0, 1.0], None)]
+    points = spark.createDataFrame(rows + odd, "pipeline long, round int, worker int, id long, x array<double>, y double").repartition(3).cache()
+    frame = pd.DataFrame(rows, columns=["pipeline", "round", "worker", "id", "x", "y"])
+    frame["y"] = frame["y"].replace(0.0, -1.0)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n_rounds, size in ((120, "7"), (3, "10000")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        try:
+            got = server.train_rounds(points, ["pipeline"], "id", 2, 3, n_rounds).collect()
+            jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < len(jobs) <= 6
+        assert {r["pipeline"]: r["fitted"] for r in got} == {k: n_rounds * 12 for k in (None, 7)}
+        for r in got:
+            w = np.zeros(3)
+            own = frame[frame["pipeline"].isna() if r["pipeline"] is None else frame["pipeline"] == r["pipeline"]]
+            for n in range(n_rounds):
+                w = w + sum(fold(part, "y", w) - w for _, part in own[own["round"] == n].groupby("worker")) / 3
+            assert r["v"] == pytest.approx(w.tolist(), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["PA", "regressorPA"])
+def test_narrow_and_wide_rows_fold_alike(kind, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(300, 4)), rng.choice([-1.0, 1.0], 300), rng.normal(size=5)
+    narrow = learners.fold_rows(kind, x, y, w, 0.01, 0.1)
+    monkeypatch.setattr(learners, "NARROW", 0)
+    assert learners.fold_rows(kind, x, y, w, 0.01, 0.1) == pytest.approx(narrow, abs=1e-12)

@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.linalg import gathered
 from tideloom.functions.params import flatten, linear, unflatten
-from tideloom.sources.storage import discard, durable
 
-from .learners import C, EPSILON, _step, fold_batch, label
+from .learners import C, EPSILON, fold_batch, fold_rows, label
 
 
 def batches(points: DataFrame, keys: list[str], order: str, kind: str = "PA") -> DataFrame:
@@ -50,62 +49,90 @@ def averaged(delta: DataFrame, models: DataFrame | None, keys: list[str], worker
     )
 
 
-def train_rounds(points: DataFrame, keys: list[str], order: str, width: int, workers: int, n_rounds: int, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
-    """Synchronous training: every round all workers start from the same global models.
-
-    Mini-batches and the models of each round are written to the shared folder, so nothing is computed twice and lineage
-    doesn't grow with the rounds.
-    """
-    mini, models, last = durable(batches(points, keys, order, kind), "mini-batches"), None, None
-    for r in range(n_rounds):
-        delta = deltas(mini.where(F.col("round") == r), models, keys, width, kind, c, epsilon)
-        models, last = durable(averaged(delta, models, keys, workers), "round"), models
-        discard(last)
-    return models
+def _in_rounds(points: DataFrame, keys: list[str], order: str, width: int, kind: str) -> DataFrame:
+    """Usable points of a key in one task, by round, worker and order; points without a label or of another width are left out."""
+    y = label(F.col("y")) if kind == "PA" else F.col("y")
+    rows = points.select(*keys, "round", "worker", order, "x", y.cast("double").alias("y"))
+    fit = rows.where(F.col("y").isNotNull() & (F.size("x") == width) & ~F.exists("x", lambda v: v.isNull()))
+    return fit.repartition(*keys).sortWithinPartitions(*keys, "round", "worker", order).drop(order)
 
 
-def round_deltas(points: DataFrame, keys: list[str], order: str, width: int, workers: int, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
-    """The deltas (keys, round, worker, delta, fitted) of every round of synchronous training, as ``train_rounds`` takes them.
+def _rounds_folder(keys: list[str], width: int, workers: int, kind: str, c: float, epsilon: float, every: bool):
+    """Folds ``_in_rounds`` batch by batch: holds a key's global model, the round's step and one worker's weights.
 
-    Streams a key's rounds in order through one task, which holds the global model and one delta a worker, not the rows:
-    a job a round isn't needed.  The global model after all rounds is the sum of the deltas over the number of workers.
+    Gives every worker's delta of every round, or only each key's model after its last round.
     """
-    y = label(F.col("y")) if kind == "PA" else F.col("y")
-    rows = points.select(*keys, "round", "worker", order, "x", y.cast("double").alias("y")).where(F.col("y").isNotNull())
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "round", "worker", order).drop(order)
-    schema = T.StructType([rows.schema[k] for k in keys]).add("round", T.IntegerType()).add("worker", T.IntegerType())
-    schema = schema.add("delta", T.ArrayType(T.DoubleType())).add("fitted", T.LongType())
+    names = [*keys, "round", "worker", "delta", "fitted"] if every else [*keys, "v", "fitted"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = number = worker = v = w = None
-        fitted, step, out = 0, None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = number = worker = v = w = step = None
+        fitted, taken, out, types = 0, 0, [], None
 
-        def close():  # the worker's mini-batch ends
-            if worker is not None:
-                out.append((*key, number, worker, (w - v).tolist(), fitted))
-                return step + (w - v) / workers
-            return step
+        def told() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(values, t) for values, t in zip(zip(*out), types)], names=names)
+            out.clear()
+            return made
 
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                k, r, who, x, y = row[:-4], *row[-4:]
+            n = batch.num_rows
+            if not n:
+                continue
+            if types is None:
+                types = [*[batch.schema.field(k).type for k in names if k in (*keys, "round", "worker")], pa.list_(pa.float64()), pa.int64()]
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            edge = _edges([batch.column(k) for k in (*keys, "round", "worker")])
+            for lo, hi in zip(edge, [*edge[1:], n]):
+                *k, r, who = (batch.column(name)[lo].as_py() for name in (*keys, "round", "worker"))
                 if (k, r, who) != (key, number, worker):
-                    step = close()
+                    if key is not None:  # the worker's mini-batch ends
+                        step = step + (w - v) / workers
+                        if every:
+                            out.append((*key, number, worker, (w - v).tolist(), fitted))
                     if k != key:
-                        v, step = np.zeros(width + 1), np.zeros(width + 1)
+                        if key is not None and not every:
+                            out.append((*key, (v + step).tolist(), taken))
+                        v, step, taken = np.zeros(width + 1), np.zeros(width + 1), 0
                     elif r != number:
                         v, step = v + step, np.zeros(width + 1)
                     key, number, worker, w, fitted = k, r, who, v, 0
-                moved, b = _step(kind, np.asarray(x, dtype=float), y, w[:-1], w[-1], c, epsilon)
-                w, fitted = np.append(moved, b), fitted + 1
+                w, fitted, taken = fold_rows(kind, x[lo:hi], y[lo:hi], w, c, epsilon), fitted + hi - lo, taken + hi - lo
             if out:
-                yield pd.DataFrame(out, columns=schema.names)
-                out.clear()
-        close()
-        if out:
-            yield pd.DataFrame(out, columns=schema.names)
+                yield told()
+        if key is not None:
+            out.append((*key, number, worker, (w - v).tolist(), fitted) if every else (*key, (v + step + (w - v) / workers).tolist(), taken))
+            yield told()
+
+    return run
+
+
+def _edges(columns: list[pa.Array]) -> list[int]:
+    """Where runs of equal rows begin; nulls are alike."""
+    codes = np.stack([c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in columns])
+    return [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist()]
 
-    return dealt.mapInPandas(run, schema)
+
+def train_rounds(points: DataFrame, keys: list[str], order: str, width: int, workers: int, n_rounds: int | None = None, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
+    """Synchronous training: every round all workers start from the same global models.
+
+    Global models (keys, v, fitted) after all rounds, or after the first ``n_rounds``.  A round needs the model of the one
+    before, so a key's rounds are streamed in order through one task: the number of jobs doesn't grow with the rounds.
+    """
+    some = points if n_rounds is None else points.where(F.col("round") < n_rounds)
+    rows = _in_rounds(some, keys, order, width, kind)
+    schema = T.StructType([rows.schema[k] for k in keys]).add("v", T.ArrayType(T.DoubleType())).add("fitted", T.LongType())
+    return rows.mapInArrow(_rounds_folder(keys, width, workers, kind, c, epsilon, False), schema)
+
+
+def round_deltas(points: DataFrame, keys: list[str], order: str, width: int, workers: int, kind: str = "PA", c: float = C, epsilon: float = EPSILON) -> DataFrame:
+    """The deltas (keys, round, worker, delta, fitted) of every round of synchronous training, as ``train_rounds`` takes them.
+
+    The global model after all rounds is the sum of the deltas over the number of workers.
+    """
+    rows = _in_rounds(points, keys, order, width, kind)
+    schema = T.StructType([rows.schema[k] for k in (*keys, "round", "worker")])
+    schema = schema.add("delta", T.ArrayType(T.DoubleType())).add("fitted", T.LongType())
+    return rows.mapInArrow(_rounds_folder(keys, width, workers, kind, c, epsilon, True), schema)
 
 
 def as_model(models: DataFrame) -> DataFrame:

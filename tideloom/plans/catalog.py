@@ -579,12 +579,8 @@ def ps_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_PS} SELECT {_AT('v', ('w0', 'w1', 'b'))}, fitted FROM ps WHERE fitted > 0 QUALIFY row_number() OVER (ORDER BY round DESC) = 1")
 def ps_all_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a job a round: every round's mini-batches are folded in the JVM from the model of the round before."""
-    points = _round_points(spark, sf_dir)
-    last = points.agg(F.max("round")).first()[0]
-    if last is None:
-        return _global(server.averaged(server.round_deltas(points, ["pipeline"], "event_id", 2, P), None, ["pipeline"], P))
-    return _global(server.train_rounds(points, ["pipeline"], "event_id", 2, P, last + 1))
+    """The same by training alone: rounds are streamed in order, and only the model after the last one comes out."""
+    return _global(server.train_rounds(_round_points(spark, sf_dir), ["pipeline"], "event_id", 2, P))
 
 
 # --- linear algebra ---------------------------------------------------------------------------------------------
