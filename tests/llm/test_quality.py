@@ -1,7 +1,11 @@
+import tracemalloc
+import types
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tideloom.llm import quality
+from tideloom.llm import common, quality
 from tideloom.llm.queries import quality_model
 
 
@@ -134,3 +138,34 @@ def test_repeated_rated_documents_stay_within_the_sample(spark):
     ratings = spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int")
     lists, grades = quality._rated(docs, ratings, 10, 20)
     assert len(lists) == len(grades) == 10
+
+
+def test_scoring_holds_the_features_of_few_documents():
+    """4,000 documents in one Arrow batch: all their features at once are 40 MB, and several times that with weights and values."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 100_000, 800)) for _ in range(4_000)]
+    model = quality.Model(20, rng.normal(size=1 << 20), np.array([-1.0, 1.0]))
+    score = quality._scorer(types.SimpleNamespace(value=model), "text")
+    next(score(iter([pd.DataFrame({"text": texts[:10]})])))  # tables of powers grow once
+    tracemalloc.start()
+    got = next(score(iter([pd.DataFrame({"text": texts})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    some = [0, 255, 256, 257, 3_999]
+    alone = [model.tails(model.scores([f]))[0] for f in quality.features([texts[i] for i in some], 20)]
+    assert np.array_equal(got["tail_probability"].to_numpy()[some], [t[-1] for t in alone])
+    assert len(got) == 4_000 and len(model.scores([])) == 0
+
+
+def test_free_memory_goes_back_when_a_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    task = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 4] and calls == [1]
+    early = task(iter([1, 2]))
+    assert next(early) == 2 and calls == [1]
+    early.close()  # a consumer that needs no more
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    common.give_back()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, partitions_for, settled, sized_join
+from .common import discard, durable, lean, partitions_for, settled, sized_join
 from .components import connected_components, merged_components
 from .shingles import mix, set_digest, shingle_sets
 
@@ -66,7 +66,7 @@ def region_hashes(sets: list[np.ndarray], seed: int = 7) -> np.ndarray:
 def _signer(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, held, size, out = b["doc_id"].to_numpy(), [], 0, []
+            ids, held, size = b["doc_id"].to_numpy(), [], 0
 
             def flush(held):
                 full = [s for _, s in held if len(s)]
@@ -79,11 +79,10 @@ def _signer(width: int):
                 held.append((None if pd.isna(i) else int(i), s))
                 size += len(s)
                 if size > 1 << 17:
-                    out.append(flush(held))
+                    yield flush(held)
                     held, size = [], 0
             if held:
-                out.append(flush(held))
-            yield from out
+                yield flush(held)
 
     return run
 
@@ -91,7 +90,7 @@ def _signer(width: int):
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, regions): the set's size, its two digests, and its 32 region hashes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_signer(width), "doc_id long, n_shingles long, s1 long, s2 long, regions array<long>")
+    return rows.mapInPandas(lean(_signer(width)), "doc_id long, n_shingles long, s1 long, s2 long, regions array<long>")
 
 
 _MET = "kind int, a long, b long, range int, region long, place int"
@@ -141,7 +140,7 @@ def forest(reps: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     rows = reps.count() * TREES
     ranges = max(1, min(partitions_for(reps.sparkSession, rows, 400_000), rows // 10_000))
     key = ["region", "k1", "k2", "rep"]
-    met = durable(trees.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(_neighbours(reach), _MET), "forest-neighbours")
+    met = durable(trees.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInPandas(lean(_neighbours(reach)), _MET), "forest-neighbours")
     tails = met.where(F.col("kind") == TAIL).select(F.col("a").alias("x"), "region", (F.col("range") + 1).alias("range"), F.col("place").alias("back"))
     heads = met.where(F.col("kind") == HEAD).select(F.col("a").alias("y"), "region", "range", "place")
     border = 2 * reach * ranges
@@ -181,7 +180,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, rows: in
     x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     both = sized_join(sized_join(pairs.select("a", "b"), x, "a", rows, 5_000), y, "b", rows, 5_000)
-    return both.mapInPandas(_confirm(part, whole), "a long, b long")
+    return both.mapInPandas(lean(_confirm(part, whole)), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -283,7 +282,7 @@ def _finish(members: DataFrame, rows: int, sketches: DataFrame, part: int, whole
     """Pairs (a, b) with a < b of ``members`` (region, rep, component) in different components of a region."""
     dealt = durable(_cells(members, rows), "cells")
     tasks = max(1, -(-dealt.count() // 5_000))
-    return dealt.join(sketches, "rep").repartition(tasks, "region", "i", "j").mapInPandas(_compare(part, whole, nearest), "a long, b long")
+    return dealt.join(sketches, "rep").repartition(tasks, "region", "i", "j").mapInPandas(lean(_compare(part, whole, nearest)), "a long, b long")
 
 
 def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reach: int = 2) -> DataFrame:
@@ -297,7 +296,7 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
     n_pairs = pairs.count()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = durable(_texts_of(docs, ends).mapInPandas(_sets(width), "doc_id long, set binary"), "candidate-sets")
+    sets = durable(_texts_of(docs, ends).mapInPandas(lean(_sets(width)), "doc_id long, set binary"), "candidate-sets")
     links = durable(confirmed(pairs, sets, part, whole, n_pairs), "links")
     found = durable(connected_components(links), "components")
 
@@ -309,7 +308,7 @@ def link(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, reac
             break
         if sketches is None:
             reps = settled(members.select(F.col("rep").alias("doc_id")).distinct(), n)
-            sketches = durable(settled(sets.join(reps, "doc_id", "left_semi"), n, 5_000).mapInPandas(_sketches, "rep long, n long, sketch binary"), "sketches")
+            sketches = durable(settled(sets.join(reps, "doc_id", "left_semi"), n, 5_000).mapInPandas(lean(_sketches), "rep long, n long, sketch binary"), "sketches")
         met = durable(_finish(members, n, sketches, part, whole, nearest), "met")
         n_met = met.count()
         used += [members, sketches, met]

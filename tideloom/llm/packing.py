@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, text_key
+from .common import durable, lean, text_key
 
 PIECES = "doc_id long, _key long, _row long, piece int, start long, length long, ids_crc32 long"
 # fixed value: how byte-level vocabularies of this kind split a text
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
-    pieces = durable(texts.mapInPandas(_tokenise(vocabulary or default_vocabulary(), capacity, end), PIECES), "pieces")
+    pieces = durable(texts.mapInPandas(lean(_tokenise(vocabulary or default_vocabulary(), capacity, end)), PIECES), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = make_plan(histogram, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]

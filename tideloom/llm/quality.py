@@ -17,8 +17,9 @@ while the sample has room; without two grades among the ratings every document g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import lean, text_key
 from .shingles import _blocks, _grow, mix
 
 _U = np.uint64
@@ -37,6 +38,8 @@ MEASURED = 7 << 6
 BAND_VALUE = 3.0
 #: Documents with a smaller probability of the highest grade are rejected.
 LEAST = 0.4
+#: Documents whose features are held together when they are scored.
+SCORED = 256
 
 
 def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +110,14 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        """The sum of a document's weights by value; no document is without features."""
-        if not docs:
-            return np.empty(0)
-        flat = np.concatenate(docs)
-        starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1]))
-        return np.add.reduceat(self.weights[flat] * _values(flat), starts)
+    def scores(self, docs: Iterable[np.ndarray]) -> np.ndarray:
+        """The sum of a document's weights by value; no document is without features.  Holds those of ``SCORED`` documents."""
+        docs, out = iter(docs), [np.empty(0)]
+        while some := list(islice(docs, SCORED)):
+            flat = np.concatenate(some)
+            starts = np.concatenate(([0], np.cumsum([len(d) for d in some])[:-1]))
+            out.append(np.add.reduceat(self.weights[flat] * _values(flat), starts))
+        return np.concatenate(out)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold j."""
@@ -197,7 +201,7 @@ def _rated(docs: DataFrame, ratings: DataFrame, sample: int, bits: int) -> tuple
     chosen = known.select(F.xxhash64(F.lit(3), "doc_id").alias("_h"), "doc_id", "grade").orderBy(*order).limit(sample)
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     each = rated.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "grade", text_key(F.col("text")).alias("_key"), "text")
-    found = each.mapInPandas(_featured(bits), "_h long, doc_id long, grade int, _key long, f binary")
+    found = each.mapInPandas(lean(_featured(bits)), "_h long, doc_id long, grade int, _key long, f binary")
     # a rated doc_id may stand on any number of rows, so the bound comes after the join
     rows = found.orderBy(*order, "_key").limit(sample).select("grade", "f").toArrow()
     lists = [np.frombuffer(f.as_py(), dtype=np.int32) for f in rows.column("f")]
@@ -217,7 +221,7 @@ def _scorer(model, column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             m = model.value
-            tails = m.tails(m.scores(list(features(b[column], m.bits))))
+            tails = m.tails(m.scores(features(b[column], m.bits)))
             yield b.drop(columns=[column]).assign(expected_grade=tails.sum(1), tail_probability=tails[:, -1])
 
     return run
@@ -227,14 +231,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, _key, expected_grade, tail_probability) of every row; ``_key`` tells texts of one doc_id apart."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text")
-    return rows.mapInPandas(_scorer(sent, "text"), "doc_id long, _key long, expected_grade double, tail_probability double")
+    return rows.mapInPandas(lean(_scorer(sent, "text")), "doc_id long, _key long, expected_grade double, tail_probability double")
 
 
 def _tail_of(model):
-    @F.pandas_udf("double")
-    def tail(text: pd.Series) -> pd.Series:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.value
-        return pd.Series(m.tails(m.scores(list(features(text, m.bits))))[:, -1] if len(text) else [], dtype="float64")
+        for text in texts:
+            yield pd.Series(m.tails(m.scores(features(text, m.bits)))[:, -1], dtype="float64")
+
+    @F.pandas_udf("double")
+    def tail(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(run)(texts)
 
     return tail
 
